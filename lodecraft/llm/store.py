@@ -1,0 +1,46 @@
+"""Tables written once and read again, in the folder that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one is set only where none is and Spark runs in one process."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    own = context._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get().rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="lodecraft-"))
+    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet and read again: its lineage ends there and it is computed once.
+
+    A lost executor costs only the tasks that were running; readers find the files in shared storage.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lodecraft/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the files of a materialised table that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def parallelism(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

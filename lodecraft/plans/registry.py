@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+MODULES = ("corpus",)
+
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -38,3 +41,5 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     """Import the modules that register queries."""
+    for name in MODULES:
+        import_module(f"lodecraft.plans.{name}")

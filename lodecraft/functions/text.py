@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: What str.split() takes as white space, as a Java pattern.
 WHITE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
@@ -19,7 +20,7 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WHITE, " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
@@ -52,7 +53,7 @@ def shingles(canonical: Column, n: int = SHINGLE) -> Column:
     return F.when(F.length(canonical) < n, F.array(canonical)).when(pairs, F.array_distinct(slow)).otherwise(F.array_distinct(each))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _cut_bytes(texts: pd.Series, limits: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else x.encode("utf-8", "surrogatepass")[: int(n)].decode("utf-8", "ignore") for x, n in zip(texts, limits)])
 

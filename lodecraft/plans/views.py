@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import number_rows
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -117,11 +119,8 @@ ROLLOUTS = """rollouts AS (
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     """Two arms over the labelled documents: (arm, task_id, correct, valid, output_tokens, latency_ms, batch)."""
-    from pyspark.sql import Window
-
-    both = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    batch = F.floor((F.row_number().over(Window.orderBy("doc_id")) - 1) / 8).cast("long")
-    rows = both.select("doc_id", "n_chars", "quality", "toxic").withColumn("batch", batch)
+    both = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("doc_id", "n_chars", "quality", "toxic")
+    rows = number_rows(both, F.floor(F.col("doc_id") / 65536), [F.col("doc_id")], "r").withColumn("batch", F.floor((F.col("r") - 1) / 8).cast("long"))
     one = lambda arm, ok: F.struct(F.lit(arm).alias("arm"), ok.alias("correct"))
     rows = rows.withColumn("a", F.explode(F.array(one("base", F.col("quality") == 1), one("sft", F.col("toxic") == 0))))
     status = F.when(F.col("a.correct"), F.lit("correct")).when(F.col("doc_id") % 3 == 0, F.lit("invalid_prediction")).when(F.col("doc_id") % 7 == 0, F.lit("missing")).otherwise(F.lit("incorrect"))

@@ -54,6 +54,22 @@ def schedule(counts: DataFrame, source: str = "source", weight: str = "weight")
     return turns.select(F.col("x.s").alias(source), F.col("x.w").alias("weight"), "period", F.col("slot").cast("long").alias("slot"), (F.row_number().over(own) - 1).cast("long").alias("turn"))
 
 
+def _placed(docs: DataFrame, weights: Mapping[str, int], default: int, block: int, source_col: str, id_col: str) -> DataFrame:
+    """(row struct of all columns of ``docs``, mix_block, mix_slot, mix_place)."""
+    if min([default, *weights.values()]) < 1:
+        raise ValueError("weights are positive integers")
+    counts = docs.select(F.col(source_col).alias("p_source")).distinct()
+    plan = schedule(counts.withColumn("weight", weight_of(F.col("p_source"), weights, default)), "p_source")
+    plan = plan.select("p_source", F.col("weight").alias("p_weight"), "period", "slot", "turn")
+    hashed = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind])
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(source_col).alias("s"), F.col(id_col).alias("id"), hashed.alias("hash"))
+    ranked = group_ranks(rows, ["s"], [F.col("id"), F.col("hash")], "rank")
+    ranked = ranked.withColumn("mix_block", F.floor(F.col("rank") / block).cast("long")).withColumn("w", weight_of(F.col("s"), weights, default))
+    on = F.col("s").eqNullSafe(F.col("p_source")) & (F.col("mix_block") % F.col("w") == F.col("turn"))
+    slot = (F.floor(F.col("mix_block") / F.col("w")) * F.col("period") + F.col("slot")).cast("long")
+    return ranked.join(F.broadcast(plan), on).select("row", "mix_block", slot.alias("mix_slot"), (F.col("rank") % block).cast("long").alias("mix_place"))
+
+
 def mix(docs: DataFrame, weights: Mapping[str, int], default: int = 1, block: int = BLOCK, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with mix_block, mix_slot and mix_place: the training order is (mix_slot, mix_place).
 
@@ -67,24 +83,14 @@ def mix(docs: DataFrame, weights: Mapping[str, int], default: int = 1, block: in
     numbered within their source by salted windows, so one source may hold most rows.
 
     Defined cases: a null source is a source of its own, of weight ``default``. Null ids and repeated rows are
-    numbered like others. A weight must be positive. No rows: no rows.
+    numbered like others. A weight must be positive. Columns of ``docs`` named like the three new ones are replaced. No rows: no rows.
     """
-    if min([default, *weights.values()]) < 1:
-        raise ValueError("weights are positive integers")
-    counts = docs.select(F.col(source_col).alias("__source")).distinct()
-    plan = schedule(counts.withColumn("weight", weight_of(F.col("__source"), weights, default)), "__source")
-    plan = plan.select(F.col("__source").alias("__p_source"), F.col("weight").alias("__w"), F.col("period").alias("__d"), F.col("slot").alias("__slot"), F.col("turn").alias("__turn"))
-    order = [F.col(id_col), F.xxhash64(*[c for c, kind in docs.dtypes if not kind.startswith("map")])]
-    ranked = group_ranks(docs, [source_col], order, "__rank")
-    ranked = ranked.withColumn("mix_block", F.floor(F.col("__rank") / block).cast("long"))
-    ranked = ranked.withColumn("__own", weight_of(F.col(source_col), weights, default))
-    on = F.col(source_col).eqNullSafe(F.col("__p_source")) & (F.col("mix_block") % F.col("__own") == F.col("__turn"))
-    placed = ranked.join(F.broadcast(plan), on)
-    slot = (F.floor(F.col("mix_block") / F.col("__w")) * F.col("__d") + F.col("__slot")).cast("long")
-    placed = placed.withColumn("mix_slot", slot).withColumn("mix_place", (F.col("__rank") % block).cast("long"))
-    return placed.select(*docs.columns, "mix_block", "mix_slot", "mix_place")
-
-
-def in_order(mixed: DataFrame, partitions: int) -> DataFrame:
-    """The rows dealt by ranges of slots and sorted: written files, read by name, hold the training order."""
-    return mixed.repartitionByRange(partitions, "mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place")
+    own = ("mix_block", "mix_slot", "mix_place")
+    kept = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() not in own]
+    return _placed(docs, weights, default, block, source_col, id_col).select(*kept, *own)
+
+
+def mix_in_order(docs: DataFrame, weights: Mapping[str, int], default: int = 1, block: int = BLOCK, source_col: str = "source", id_col: str = "doc_id", partitions: int = 1) -> DataFrame:
+    """The rows of ``docs``, columns as they were, dealt by ranges of slots and sorted: written files, read by name, hold the training order of ``mix``."""
+    placed = _placed(docs, weights, default, block, source_col, id_col)
+    return placed.repartitionByRange(partitions, "mix_slot", "mix_place").sortWithinPartitions("mix_slot", "mix_place").select("row.*")

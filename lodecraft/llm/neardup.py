@@ -287,7 +287,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     big = mixed.where(F.col("n") > SMALL).select("hub", "rid", "root").distinct()
     if not big.isEmpty():
         more.append(_block_links(materialise(big, "big"), docs, id_col, text_col, plan))
-    mapped = base.join(classes.where("copies > 1").select("set_hash", "rid"), "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("rid", F.when(F.col("set_hash").isNotNull(), F.col("doc_id"))).alias("rid"))
+    mapped = base.join(classes.where("copies > 1").select("set_hash", "rid"), "set_hash", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull(), F.coalesce("rid", "doc_id")).alias("rid"))
     mapped = materialise(mapped, "mapped")
     twice = mapped.where("rid is not null and doc_id is not null").groupBy("doc_id").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("doc_id")
     more.append(mapped.join(twice, "doc_id", "left_semi").where("rid is not null").select(F.col("doc_id").alias("a"), F.col("rid").alias("b")))

@@ -62,9 +62,10 @@ def near_pairs(texts: DataFrame, threshold: float = 0.9) -> DataFrame:
 
     Exact, by prefix filtering: shingles are ordered by rarity; two sets that similar share a shingle among the first
     ``size - ceil(threshold * size) + 1`` of each. Candidates must also be close in size; then whole sets are compared.
-    The texts are written once; shingles are made from them where they are needed, since they take more room than texts.
+    The texts are written once, in as many parts as shuffles have, since little text becomes many shingles; shingles are made from them where they are needed, since they take more room than texts.
     """
-    texts = materialise(texts.select("id", "canonical"), "texts")
+    spark = texts.sparkSession
+    texts = materialise(texts.select("id", "canonical").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id"), "texts")
     sets = texts.select("id", F.transform(text.shingles(F.col("canonical")), lambda x: F.xxhash64(x)).alias("s")).withColumn("s", F.array_distinct("s"))
     grams = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
     frequency = grams.groupBy("g").agg(F.count(F.lit(1)).alias("f"))

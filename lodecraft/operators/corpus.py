@@ -57,25 +57,32 @@ def assign_splits(winners: DataFrame, seed: int = 7) -> DataFrame:
     return done.unionByName(winners.where("intended_use = 'eval'").select("task_id", "dataset", F.lit("frozen_eval").alias("split")))
 
 
+#: Counters of shingles; with their keys a table of at most about 50 MB, which is broadcast.
+COUNTERS = 1 << 20
+
+
 def near_pairs(texts: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(a, b, common, total) of all pairs a < b of (id, canonical) whose 5-character shingle sets have Jaccard >= threshold.
 
-    Exact, by prefix filtering: shingles are ordered by rarity; two sets that similar share a shingle among the first
-    ``size - ceil(threshold * size) + 1`` of each. Candidates must also be close in size; then whole sets are compared.
-    The texts are written once, in as many parts as shuffles have, since little text becomes many shingles; shingles are made from them where they are needed, since they take more room than texts.
+    Exact, by prefix filtering: shingles are ordered from rare to common; two sets that similar share a shingle among the
+    first ``size - ceil(threshold * size) + 1`` of each. Any total order is right, so rarity is counted in a fixed number of
+    counters by hash: their table is bounded and broadcast, and shingles, many times the text, are never shuffled but
+    for the prefixes. Candidates must also be close in size; then whole sets are compared.
     """
-    spark = texts.sparkSession
-    texts = materialise(texts.select("id", "canonical").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id"), "texts")
-    sets = texts.select("id", F.transform(text.shingles(F.col("canonical")), lambda x: F.xxhash64(x)).alias("s")).withColumn("s", F.array_distinct("s"))
-    grams = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("g"))
-    frequency = grams.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-    ordered = grams.join(frequency.where("f > 1"), "g")
-    single = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id"))  # shingles that no other text has come first
-    place = F.row_number().over(Window.partitionBy("id").orderBy("f", "g")) + single
-    prefix = ordered.withColumn("p", place).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).select("g", "id", "n")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = materialise(texts.select("id", "canonical").repartition(parts, "id"), "texts")
+    hashed = F.array_distinct(F.transform(text.shingles(F.col("canonical")), lambda x: F.xxhash64(x)))
+    counter = F.pmod(F.col("g"), F.lit(COUNTERS))
+    counts = texts.select(F.explode(hashed).alias("g")).groupBy(counter.alias("c")).agg(F.count(F.lit(1)).alias("f"))
+    grams = texts.repartition(parts, "id").select("id", F.posexplode(hashed).alias("at", "g")).withColumn("c", counter)
+    per_id = Window.partitionBy("id")
+    placed = grams.join(F.broadcast(counts), "c").withColumn("n", F.count(F.lit(1)).over(per_id)).withColumn("p", F.row_number().over(per_id.orderBy("f", "g")))
+    prefix = materialise(placed.where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).select("g", "id", "n"), "prefix")
     x, y = prefix.select("g", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("g", F.col("id").alias("b"), F.col("n").alias("nb"))
     close = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold)) & (F.col("a") < F.col("b"))
-    pairs = x.join(y, "g").where(close).select("a", "b").distinct()
+    pairs = materialise(x.join(y, "g").where(close).select("a", "b").distinct(), "candidates")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = texts.join(ends, "id", "left_semi").select("id", hashed.alias("s"))
     full = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     full = full.withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
     full = full.withColumn("total", F.size("sa") + F.size("sb") - F.col("common"))

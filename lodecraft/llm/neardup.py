@@ -22,8 +22,8 @@ _U = np.uint64
 WIDTH = 8
 #: Of a bucket in which not all members are in one component yet: up to so many members, pairs are listed; more are compared in blocks.
 SMALL = 32
-#: Sets on either side of a block comparison.
-SIDE = 256
+#: Shingles, over all sets, on either side of a block comparison.
+SIDE = 50_000
 #: Ids that may be broadcast: at most 16 MB.
 BROADCAST_IDS = 1_000_000
 
@@ -218,20 +218,21 @@ def _compare_blocks(per_cent: int):
     return run
 
 
-def _block_links(big: DataFrame, docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFrame:
-    """Links between components inside large buckets, compared exactly in blocks of about ``SIDE`` sets.
+def _block_links(big: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFrame:
+    """Links between components inside large buckets, compared exactly in blocks of about ``SIDE`` shingles.
 
-    Large buckets that share documents form a group. A component of many sets in a group gets blocks of its own, the
+    Large buckets that share documents form a group. A component of many shingles in a group gets blocks of its own, the
     other sets are pooled; every two blocks meet in a task of their own unless they hold the same component.
     """
     groups = materialise(components(big.select(F.col("hub").alias("a"), F.col("rid").alias("b"))), "groups")
     own = groups.select(F.col("id").alias("rid"), F.col("root").alias("g"))
     own = own.unionAll(groups.select(F.col("root").alias("rid"), F.col("root").alias("g"))).distinct()
-    rows = materialise(big.select("rid", "root").distinct().join(own, "rid"), "crowd")
-    count = rows.groupBy("g", "root").agg(F.count(F.lit(1)).alias("n"))
+    sizes = classes.groupBy("rid").agg(F.max("size").alias("size"))
+    rows = materialise(big.select("rid", "root").distinct().join(own, "rid").join(sizes, "rid"), "crowd")
+    count = rows.groupBy("g", "root").agg(F.sum("size").alias("n"))
     large = count.where(F.col("n") >= SIDE // 2).select(F.col("g").alias("g1"), F.col("root").alias("owner"), "n")
     placed = rows.join(large, (F.col("g") == F.col("g1")) & (F.col("root") == F.col("owner")), "left").drop("g1")
-    pooled = placed.where(F.col("owner").isNull()).groupBy("g").agg(F.count(F.lit(1)).alias("m")).select(F.col("g").alias("g2"), "m")
+    pooled = placed.where(F.col("owner").isNull()).groupBy("g").agg(F.sum("size").alias("m")).select(F.col("g").alias("g2"), "m")
     placed = placed.join(pooled, F.col("g") == F.col("g2"), "left").drop("g2")
     blocks_of = F.ceil(F.coalesce("n", "m") / F.lit(SIDE)).cast("long")
     placed = placed.withColumn("block", F.struct(F.coalesce("owner", F.lit(-1).cast("long")).alias("o"), F.pmod(F.xxhash64("rid"), blocks_of).alias("k"), F.col("owner").isNull().alias("p")))
@@ -267,7 +268,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     spark = docs.sparkSession
     base = materialise(signatures(docs, id_col, text_col, plan), "signatures")
     some = base.where("set_hash is not null and doc_id is not null")
-    classes = materialise(some.groupBy("set_hash").agg(F.min("doc_id").alias("rid"), F.min("sig").alias("sig"), F.count(F.lit(1)).alias("copies")), "classes")
+    classes = materialise(some.groupBy("set_hash").agg(F.min("doc_id").alias("rid"), F.min("sig").alias("sig"), F.max("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies")), "classes")
     members = index_keys(classes, plan)
     bucket = Window.partitionBy("key")
     members = members.withColumn("hub", F.min("rid").over(bucket)).withColumn("hi", F.max("rid").over(bucket))
@@ -286,7 +287,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     more = [_links(crossing, classes, docs, id_col, text_col, plan)]
     big = mixed.where(F.col("n") > SMALL).select("hub", "rid", "root").distinct()
     if not big.isEmpty():
-        more.append(_block_links(materialise(big, "big"), docs, id_col, text_col, plan))
+        more.append(_block_links(materialise(big, "big"), classes, docs, id_col, text_col, plan))
     mapped = base.join(classes.where("copies > 1").select("set_hash", "rid"), "set_hash", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull(), F.coalesce("rid", "doc_id")).alias("rid"))
     mapped = materialise(mapped, "mapped")
     twice = mapped.where("rid is not null and doc_id is not null").groupBy("doc_id").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("doc_id")

@@ -56,7 +56,7 @@ def test_equals_brute_force(make_docs, n, per_cent):
 
 def test_large_buckets_are_compared_by_blocks(make_docs, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 4)
-    monkeypatch.setattr(neardup, "SIDE", 16)
+    monkeypatch.setattr(neardup, "SIDE", 900)
     rng = random.Random(5)
     base = [f"t{k}" for k in range(60)]
     texts = []

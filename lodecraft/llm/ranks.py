@@ -18,15 +18,12 @@ def group_ranks(df: DataFrame, groups: Sequence[str], order: Sequence[Column], o
     The rank order is (salt, order): a fixed pseudo-random order that depends on the rows' values alone.
     Rows equal in every order column get consecutive ranks. Groups may be null.
     """
-    salt, number = f"__salt_{out}", f"__number_{out}"
-    salted = df.withColumn(salt, F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    counts = salted.groupBy(*groups, salt).agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(*groups).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1))
-    first = counts.select(*[F.col(g).alias(f"__g_{g}") for g in groups], F.col(salt).alias("__s"), F.coalesce(before, F.lit(0)).alias("__first"))
-    window = Window.partitionBy(*groups, salt).orderBy(*order)
-    numbered = salted.withColumn(number, F.row_number().over(window).cast("long") - 1)
-    on = F.col(salt) == F.col("__s")
-    for g in groups:
-        on = on & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
-    joined = numbered.join(first, on, "left").withColumn(out, F.col(number) + F.col("__first"))
-    return joined.drop(salt, number, "__s", "__first", *[f"__g_{g}" for g in groups])
+    salt = F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")
+    keyed = df.withColumn("__key", F.struct(*[F.col(g) for g in groups], salt.alias("__salt")))  # structs equal with nulls inside
+    counts = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
+    in_group = Window.partitionBy(*[F.col(f"__key.{g}") for g in groups]).orderBy("__key.__salt").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(F.col("__key").alias("__of"), F.coalesce(F.sum("__n").over(in_group), F.lit(0)).alias("__first"))
+    own = F.row_number().over(Window.partitionBy("__key").orderBy(*order)).cast("long") - 1
+    numbered = keyed.withColumn("__own", own)  # dealt by the key, which the join keeps: rows move once
+    joined = numbered.join(first, F.col("__key") == F.col("__of"))
+    return joined.withColumn(out, F.col("__own") + F.col("__first")).drop("__key", "__own", "__of", "__first")

@@ -2,7 +2,7 @@
 
 Each stage gets the rows that the one before kept. Quality rules remove documents; of each group of
 near-duplicates (five-word shingles, similarity 0.8) one stays; secrets are replaced in the text; mixing puts the documents
-in training order, written by ranges of that order; packing returns the pieces of the packed sequences.
+in training order, written by ranges of that order; packing numbers sequences along that order and returns their pieces.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    return packing.pack_in_order(docs)
 
 
 STAGES = [("quality_rules", quality_rules), ("minhash_near_dedup", near_dedup), ("secret_scans", secret_scans), ("mix_sources", mix_sources), ("packing", pack_sequences)]

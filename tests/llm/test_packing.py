@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodecraft.llm import packing, tokens
+from lodecraft.llm import mixing, packing, tokens
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +79,31 @@ def test_little_padding():
     histogram = dict(zip(*map(np.ndarray.tolist, np.unique(rng.integers(1, 2049, 20000), return_counts=True))))
     packs = sum(r.count for r in packing.patterns(histogram))
     assert sum(k * v for k, v in histogram.items()) / (packs * 2048) > 0.98
+
+
+@pytest.mark.parametrize("weights", [{"a": 8, "b": 1}, {"a": 1, "b": 8}])
+def test_sequences_follow_the_mixed_order(spark, tmp_path, weights):
+    docs = spark.createDataFrame([(i, "ab"[i % 7 == 0], "word " * (1 + i * 37 % 90)) for i in range(300)], "doc_id long, source string, text string")
+    order = [r.doc_id for r in mixing.mix(docs, weights, block=4).orderBy("mix_slot", "mix_place").collect()]
+    mixing.mix_in_order(docs, weights, block=4, partitions=5).write.parquet(str(tmp_path / "mixed"))
+    found = packing.pack_in_order(spark.read.parquet(str(tmp_path / "mixed")), room=128, window=32).collect()
+    want = {d: k for k, d in enumerate(order)}
+    assert sorted(r.doc_id for r in found) == list(range(300))
+    by_sequence = defaultdict(list)
+    for r in found:
+        by_sequence[r.sequence_id].append((r.offset, r.length, want[r.doc_id]))
+    assert sorted(by_sequence) == list(range(len(by_sequence)))
+    first = []
+    for _, parts in sorted(by_sequence.items()):
+        parts.sort()
+        assert [o for o, _, _ in parts] == [sum(n for _, n, _ in parts[:k]) for k in range(len(parts))] and sum(n for _, n, _ in parts) <= 128
+        assert len({place // 32 for _, _, place in parts}) == 1
+        first.append(min(place for _, _, place in parts))
+    assert first == sorted(first)
+
+
+def test_order_of_rows_that_are_not_in_files(spark):
+    docs = spark.createDataFrame([(i, "x " * 100) for i in range(50)], "doc_id long, text string").repartition(3).sortWithinPartitions("doc_id")
+    found = packing.pack_in_order(docs, room=128, window=8).collect()
+    assert [r.doc_id for r in sorted(found, key=lambda r: r.sequence_id)] == [r.doc_id for r in docs.collect()]
+    assert packing.pack_in_order(docs.limit(0)).collect() == []

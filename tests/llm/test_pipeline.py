@@ -96,6 +96,19 @@ def test_pipeline_equals_brute_force(spark, make_docs, tmp_path):
         assert sum(n for _, n in parts) <= 2048 and [o for o, _ in sorted(parts)] == [sum(n for o2, n in parts if o2 < o) for o, _ in sorted(parts)]
 
 
+def test_weights_change_the_sequences(spark, make_docs, tmp_path, monkeypatch):
+    make_docs(fixture(), ["src0", "src1", None]).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline.mixing.mix_in_order, "__defaults__", (1, 1, "source", "doc_id", 1))
+
+    def placed(weights):
+        monkeypatch.setattr(corpus_pipeline, "MIX_WEIGHTS", weights)
+        return sorted((r.doc_id, r.start, r.sequence_id, r.offset) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+    one = placed({"src0": 8, "src1": 1})
+    other = placed({"src0": 1, "src1": 8})
+    assert other != one and [x[:2] for x in other] == [x[:2] for x in one]
+
+
 def test_stages_keep_columns_and_take_no_rows(spark, make_docs):
     docs = make_docs(["x"]).limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:

@@ -16,6 +16,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>?", re.I) for x in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 HIDDEN = frozenset("head title script style template noscript meta link base iframe noembed noframes object audio video canvas svg math datalist".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp caption".split())
+#: Start tags that stay in an open head; any other, and text, ends it.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure xmp menu dir".split())
 LISTS = frozenset(("ul", "ol", "menu", "dir"))
 _P_CLOSERS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul xmp li dd dt".split())
@@ -63,6 +65,18 @@ def _close(stack: list[Node], tags: frozenset[str], barrier: frozenset[str]) ->
         del stack[at:]
 
 
+def _say(stack: list[Node], text: str) -> None:
+    """Add text; the head ends where text begins."""
+    if stack[-1].tag == "head" and text.strip(" \t\n\r\f"):
+        _leave_head(stack)
+    stack[-1].children.append(text)
+
+
+def _leave_head(stack: list[Node]) -> None:
+    while stack[-1].tag == "head":
+        stack.pop()
+
+
 def parse(html: str) -> Node:
     """The tree. Missing end tags are implied; end tags that close nothing are dropped (``</p>`` and ``</br>`` too)."""
     root = Node("#root")
@@ -70,14 +84,14 @@ def parse(html: str) -> Node:
     while at < n:
         m = TOKEN.search(html, at)
         if not m:
-            stack[-1].children.append(html[at:])
+            _say(stack, html[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(html[at : m.start()])
+            _say(stack, html[at : m.start()])
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                stack[-1].children.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
+                _say(stack, m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
         tag = m[2].lower()
         if m[1]:
@@ -93,8 +107,8 @@ def parse(html: str) -> Node:
             _close(stack, *CLOSES[tag])
         if tag in _P_CLOSERS:
             _close(stack, frozenset(("p",)), _BARRIERS)
-        if stack[-1].tag == "head" and tag in BLOCK:
-            stack.pop()
+        if tag not in IN_HEAD:
+            _leave_head(stack)
         parent = stack[-1]
         if tag in ("td", "th") and parent.tag in ("table", "tbody", "thead", "tfoot"):
             parent.children.append(row := Node("tr"))

@@ -28,6 +28,20 @@ def test_rendering(html, text):
     assert html_text.render(html)[1] == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<html><head><title>T</title><font><p>one<p>two</font>", "one\n\ntwo"),
+        ("<head><title>T</title><a href=x>link</a> and <img src=y> <b>bold</b><p>p", "link and bold\n\np"),
+        ("<html><head><meta charset=utf-8>\n<style>s</style>\nplain text", "plain text"),
+        ("<head><title>T</title><script>no</script><noscript><img>no</noscript><template>no</template> \n</head><body>yes", "yes"),
+        ("<head><head><title>T</title></head><span>x</span>", "x"),
+    ],
+)
+def test_head_ends_where_content_begins(html, text):
+    assert html_text.render(html) == ("T" if "<title>" in html else None, text)
+
+
 def test_extract_cases(spark):
     rows = [(1, "<title>A &amp; B</title>x", 5), (1, "<title>A &amp; B</title>x", 5), (None, None, 6), (2, "", 7), (3, "w <b>" * 20000, 8)]
     pages = spark.createDataFrame(rows, "page_id long, html string, text long")

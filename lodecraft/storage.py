@@ -23,23 +23,45 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The part of the shared folder that this application writes to."""
+    return f"{shared_dir(spark)}/lodecraft/{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet and read again: its lineage ends there and it is computed once.
 
     A lost executor costs only the tasks that were running; readers find the files in shared storage.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodecraft/{name}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop file system of a path, and the path."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, where = file_system(spark, path)
+    files.delete(where, True)
 
 
 def drop(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, folder)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete every table that this application has materialised; results that read them must have been written before."""
+    _delete(spark, own_dir(spark))
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodecraft.llm import mixing, neardup, packing, quality, secrets, store
+from lodecraft import storage
+from lodecraft.llm import mixing, neardup, packing, quality, secrets
 from lodecraft.llm.queries import MIX_DEFAULT, MIX_WEIGHTS
 
 
@@ -26,7 +27,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_in_order(docs, MIX_WEIGHTS, MIX_DEFAULT, partitions=store.parallelism(spark))
+    return mixing.mix_in_order(docs, MIX_WEIGHTS, MIX_DEFAULT, partitions=storage.parallelism(spark))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,5 +44,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, applied to ``documents``; each stage's rows are written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = store.materialise(stage(spark, docs, sf_dir), name)
+        docs = storage.materialise(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

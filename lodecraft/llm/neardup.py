@@ -10,11 +10,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .store import drop, materialise
+from ..operators.graph import components
+from ..operators.skew import hot_limit, join_counted
+from ..storage import drop, materialise
 from .words import blocks, mix, shingle_sets
 
 _U = np.uint64
@@ -136,7 +137,15 @@ def shingle_arrays(docs: DataFrame, id_col: str, text_col: str, wanted: DataFram
     return rows.join(F.broadcast(wanted) if few else wanted, "rid", "left_semi").mapInArrow(run, "rid long, shingles binary")
 
 
-def _within(pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
+def _ends(pairs: DataFrame, table: DataFrame, column: str, limit: int | None) -> DataFrame:
+    """(a, b, column of a, column of b) for each pair. An id may be the ``a`` of most pairs, so its pairs are dealt to several tasks;
+    it is the ``b`` of at most as many as a document has keys times ``SMALL``."""
+    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(table.select(F.col("rid").alias("a"), F.col(column).alias("left")), "a")
+    partners = pairs.join(table.select(F.col("rid").alias("b"), F.col(column).alias("right")), "b")
+    return join_counted(partners, hubs, ["a"], F.col("b"), "n", limit).select("a", "b", "left", "right")
+
+
+def _within(pairs: DataFrame, classes: DataFrame, plan: Plan, limit: int | None) -> DataFrame:
     """The pairs (a, b) whose signatures differ in at most ``cutoff`` places."""
     cutoff, places = plan.cutoff, plan.places
 
@@ -147,38 +156,40 @@ def _within(pairs: DataFrame, classes: DataFrame, plan: Plan) -> DataFrame:
                 near = pa.array(np.count_nonzero(x != y, axis=1) <= cutoff)
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
 
-    left = classes.select(F.col("rid").alias("a"), F.col("sig").alias("sig_a"))
-    right = classes.select(F.col("rid").alias("b"), F.col("sig").alias("sig_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return _ends(pairs, classes, "sig", limit).mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan, limit: int | None) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     per_cent = plan.per_cent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                both = np.concatenate([np.frombuffer(x, _U), np.frombuffer(y, _U)])
+            for x, y in zip(batch.column(2), batch.column(3)):
+                both = np.concatenate([np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)])
                 both.sort(kind="stable")
                 common = int(np.count_nonzero(both[1:] == both[:-1]))
                 good.append(100 * common >= per_cent * (len(both) - common))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
-    left = sets.select(F.col("rid").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("rid").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return _ends(pairs, sets, "shingles", limit).mapInArrow(run, "a long, b long")
 
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFrame:
-    near = materialise(_within(pairs, classes, plan), "near")
+    """The confirmed pairs of ``pairs``, which is written."""
+    spark = docs.sparkSession
+    n = pairs.count()
+    if not n:
+        return pairs
+    limit = hot_limit(n, spark)
+    near = materialise(_within(pairs, classes, plan, limit), "near")
     ends = materialise(near.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "ends")
     sets = materialise(shingle_arrays(docs, id_col, text_col, ends, plan), "sets")
-    links = materialise(_confirmed(near, sets, plan), "links")
-    for used in (near, ends, sets):
-        drop(docs.sparkSession, used)
+    links = materialise(_confirmed(near, sets, plan, limit), "links")
+    for used in (pairs, near, ends, sets):
+        drop(spark, used)
     return links
 
 
@@ -224,17 +235,18 @@ def _block_links(big: DataFrame, classes: DataFrame, docs: DataFrame, id_col: st
     Large buckets that share documents form a group. A component of many shingles in a group gets blocks of its own, the
     other sets are pooled; every two blocks meet in a task of their own unless they hold the same component.
     """
+    spark = docs.sparkSession
     groups = materialise(components(big.select(F.col("hub").alias("a"), F.col("rid").alias("b"))), "groups")
     own = groups.select(F.col("id").alias("rid"), F.col("root").alias("g"))
     own = own.unionAll(groups.select(F.col("root").alias("rid"), F.col("root").alias("g"))).distinct()
-    sizes = classes.groupBy("rid").agg(F.max("size").alias("size"))
-    rows = materialise(big.select("rid", "root").distinct().join(own, "rid").join(sizes, "rid"), "crowd")
-    count = rows.groupBy("g", "root").agg(F.sum("size").alias("n"))
-    large = count.where(F.col("n") >= SIDE // 2).select(F.col("g").alias("g1"), F.col("root").alias("owner"), "n")
-    placed = rows.join(large, (F.col("g") == F.col("g1")) & (F.col("root") == F.col("owner")), "left").drop("g1")
-    pooled = placed.where(F.col("owner").isNull()).groupBy("g").agg(F.sum("size").alias("m")).select(F.col("g").alias("g2"), "m")
-    placed = placed.join(pooled, F.col("g") == F.col("g2"), "left").drop("g2")
-    blocks_of = F.ceil(F.coalesce("n", "m") / F.lit(SIDE)).cast("long")
+    rows = materialise(big.select("rid", "root").distinct().join(own, "rid").join(classes.select("rid", "size"), "rid"), "crowd")
+    limit = hot_limit(rows.count(), spark)
+    count = materialise(rows.groupBy("g", "root").agg(F.sum("size").alias("m"), F.count(F.lit(1)).alias("n")), "count")
+    owners = count.withColumn("owner", F.when(F.col("m") >= SIDE // 2, F.col("root"))).withColumn("m", F.when(F.col("owner").isNotNull(), F.col("m")))
+    placed = join_counted(rows, owners, ["g", "root"], F.col("rid"), "n", limit).select("g", "rid", "root", "owner", "m")
+    pooled = count.groupBy("g").agg(F.coalesce(F.sum(F.when(F.col("m") < SIDE // 2, F.col("m"))), F.lit(0)).alias("pool"), F.sum("n").alias("n"))
+    placed = join_counted(placed, pooled, ["g"], F.col("rid"), "n", limit)
+    blocks_of = F.greatest(F.lit(1), F.ceil(F.coalesce("m", "pool") / F.lit(SIDE))).cast("long")
     placed = placed.withColumn("block", F.struct(F.coalesce("owner", F.lit(-1).cast("long")).alias("o"), F.pmod(F.xxhash64("rid"), blocks_of).alias("k"), F.col("owner").isNull().alias("p")))
     placed = materialise(placed.select("g", "rid", "root", "block"), "placed")
     every = placed.select("g", "block").distinct()
@@ -266,50 +278,63 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     whatever one of its texts is linked with, and each row is returned. Other columns are ignored. No rows: no rows.
     """
     spark = docs.sparkSession
-    base = materialise(signatures(docs, id_col, text_col, plan), "signatures")
+    base = materialise(signatures(docs, id_col, text_col, plan).withColumn("row", F.monotonically_increasing_id()), "signatures")
     some = base.where("set_hash is not null and doc_id is not null")
     classes = materialise(some.groupBy("set_hash").agg(F.min("doc_id").alias("rid"), F.min("sig").alias("sig"), F.max("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies")), "classes")
-    members = index_keys(classes, plan)
-    bucket = Window.partitionBy("key")
-    members = members.withColumn("hub", F.min("rid").over(bucket)).withColumn("hi", F.max("rid").over(bucket))
-    members = materialise(members.where("hub < hi").select("key", "rid", "hub"), "members")
-    stars = members.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct()
-    links = _links(stars, classes, docs, id_col, text_col, plan)
+    by_rid = classes.groupBy("rid").agg(F.min("sig").alias("sig"), F.max("size").alias("size"))  # an id with several texts may stand for several classes
+    keys = index_keys(classes, plan)
+    limit = hot_limit(classes.count() * plan.places, spark)
+    shared = materialise(keys.groupBy("key").agg(F.min("rid").alias("hub"), F.max("rid").alias("hi"), F.count(F.lit(1)).alias("n")).where("hub < hi"), "shared")
+    crowds = shared.where("n > 2").select("key", "hub", "n")
+    members = materialise(join_counted(keys, crowds, ["key"], F.col("rid"), "n", limit).select("key", "rid", "hub", "n"), "members")
+    stars = shared.where("n = 2").select(F.col("hub").alias("a"), F.col("hi").alias("b")).unionAll(members.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")))
+    links = _links(materialise(stars.distinct(), "stars"), by_rid, docs, id_col, text_col, plan)
     roots = materialise(components(links), "roots")
 
-    own = members.join(roots.withColumnRenamed("id", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    own = own.withColumn("lo", F.min("root").over(bucket)).withColumn("up", F.max("root").over(bucket)).withColumn("n", F.count(F.lit(1)).over(bucket))
-    mixed = materialise(own.where("lo < up and n > 2").select("key", "rid", "hub", "root", "n"), "mixed")
-    drop(spark, members)
+    own = materialise(members.join(roots.withColumnRenamed("id", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid")), "own")
+    tops = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("up"), F.max("n").alias("n")).where("lo < up").select("key", "n")
+    mixed = materialise(join_counted(own.drop("n"), tops, ["key"], F.col("rid"), "n", limit).select("key", "rid", "hub", "root", "n"), "mixed")
     small = mixed.where((F.col("n") <= SMALL) & (F.col("rid") != F.col("hub"))).select("key", "rid", "root")
     x, y = small.select("key", F.col("rid").alias("a"), F.col("root").alias("ra")), small.select("key", F.col("rid").alias("b"), F.col("root").alias("rb"))
-    crossing = x.join(y, "key").where("a < b and ra <> rb").select("a", "b").distinct()
-    more = [_links(crossing, classes, docs, id_col, text_col, plan)]
+    crossing = materialise(x.join(y, "key").where("a < b and ra <> rb").select("a", "b").distinct(), "crossing")
+    more = [_links(crossing, by_rid, docs, id_col, text_col, plan)]
     big = mixed.where(F.col("n") > SMALL).select("hub", "rid", "root").distinct()
     if not big.isEmpty():
-        more.append(_block_links(materialise(big, "big"), classes, docs, id_col, text_col, plan))
-    mapped = base.join(classes.where("copies > 1").select("set_hash", "rid"), "set_hash", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull(), F.coalesce("rid", "doc_id")).alias("rid"))
-    mapped = materialise(mapped, "mapped")
-    twice = mapped.where("rid is not null and doc_id is not null").groupBy("doc_id").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("doc_id")
-    more.append(mapped.join(twice, "doc_id", "left_semi").where("rid is not null").select(F.col("doc_id").alias("a"), F.col("rid").alias("b")))
+        more.append(_block_links(materialise(big, "big"), by_rid, docs, id_col, text_col, plan))
+    twice = some.groupBy("doc_id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("doc_id", "n")
+    total = hot_limit(base.count(), spark)
+    texts = join_counted(some.select("doc_id", "set_hash", "row"), twice, ["doc_id"], F.col("row"), "n", total).select("doc_id", "set_hash", "row")
+    texts = join_counted(texts, classes.select("set_hash", "rid", "copies"), ["set_hash"], F.col("row"), "copies", total)
+    more.append(texts.select(F.col("doc_id").alias("a"), F.col("rid").alias("b")).where("a <> b").distinct())
     rest = more[0]
     for part in more[1:]:
         rest = rest.unionAll(part)
     rest = materialise(rest, "links")
     if not rest.isEmpty():
-        roots = components(rest.unionAll(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))))
-    roots = roots.select(F.col("id").alias("rid"), "root")
-    done = mapped.join(roots, "rid", "left").withColumn("component_id", F.coalesce("root", "rid", "doc_id"))
-    return done.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        roots = materialise(components(rest.unionAll(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))), "roots")
+    for used in (shared, members, own, mixed):
+        drop(spark, used)
+    labels = classes.join(roots.select(F.col("id").alias("rid"), "root"), "rid", "left").where("copies > 1 or root is not null")
+    labels = labels.select("set_hash", F.coalesce("root", "rid").alias("root"), "copies")
+    done = join_counted(some, labels, ["set_hash"], F.col("row"), "copies", total, "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    rest = base.where("set_hash is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return done.unionAll(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their component: one for each, and every row with a null id.
 
-    Of rows that repeat the id of a kept document, the first by all columns stays.
+    Of rows that repeat the id of a kept document one stays: the least by the hash of its columns (maps left out; rows that differ only in
+    those are taken as equal). Columns may have any names and types. No rows: no rows.
     """
-    found = near_duplicates(docs, plan, id_col, text_col).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept")).distinct()
-    kept = docs.join(found, docs[id_col].cast("long") == F.col("__kept"), "left_semi")
-    rank = F.row_number().over(Window.partitionBy(F.col(id_col).cast("long")).orderBy(*[F.xxhash64(c) for c in docs.columns]))
-    first = kept.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
-    return first.unionByName(docs.where(F.col(id_col).cast("long").isNull()))
+    spark = docs.sparkSession
+    found = materialise(near_duplicates(docs, plan, id_col, text_col).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")), "kept")
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(*hashed).alias("hash"), F.monotonically_increasing_id().alias("place"))
+    chosen = join_counted(rows.where("id is not null"), found, ["id"], F.col("place"), "n", hot_limit(docs.count(), spark))
+    if found.where("n > 1").isEmpty():
+        once = chosen.select("row.*")
+    else:
+        first = chosen.where("n > 1").groupBy("id").agg(F.min_by("row", "hash").alias("row"))
+        once = chosen.where("n = 1").select("row.*").unionAll(first.select("row.*"))
+    return once.unionAll(docs.where(F.col(id_col).cast("long").isNull()))

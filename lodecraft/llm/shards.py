@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialise, parallelism
+from ..storage import materialise, parallelism
 from .tokens import default_path, encoder
 from .words import mix
 

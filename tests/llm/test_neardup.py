@@ -6,7 +6,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lodecraft.llm import components, neardup, words
+from lodecraft.llm import neardup, words
+from lodecraft.operators.graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -101,7 +102,7 @@ def test_pigeonhole_guarantee():
 
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
-    found = {r.id: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    found = {r.id: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(1, 51)}, **{100 + k: 100 for k in range(1, 30)}}
 
 

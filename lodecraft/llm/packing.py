@@ -151,7 +151,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return pack(materialise(token_pieces(docs, id_col, text_col, path, room), "pieces"), room)
 
 
-def _row_order(docs: DataFrame) -> tuple[Column, Column]:
+def row_order(docs: DataFrame) -> tuple[Column, Column]:
     """Where a row stands: file and row within it for Parquet files, else partition and row within it."""
     try:
         found = docs.metadataColumn("_metadata")
@@ -193,7 +193,7 @@ def pack_in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Positions come from the files' row counts, of which the driver gets one for each file; a window is packed in one task.
     """
     spark = docs.sparkSession
-    pieces = materialise(token_pieces(docs, id_col, text_col, path, room, order=_row_order(docs)), "pieces")
+    pieces = materialise(token_pieces(docs, id_col, text_col, path, room, order=row_order(docs)), "pieces")
     parts, first = [], 0
     for part, rows in sorted(pieces.where("start = 0").groupBy("part").agg(F.count(F.lit(1))).collect(), key=lambda r: _part_number(r[0])):
         parts.append((part, first))

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodecraft.llm import html_text, shards, tokens
 
@@ -61,31 +62,75 @@ def test_permutation_is_a_bijection(n):
 TEXTS = ["Hello there", None, "", "tie", "tie", "many words " * 3000, "漢字 🙂"]
 
 
-def test_round_trip(spark, make_docs, tmp_path):
-    docs = make_docs(TEXTS * 3)
-    out = shards.training_order(docs, key=5, stride=64, slots_per_shard=16)
-    found = out.collect()
-    assert sorted(r.slot for r in found) == list(range(len(found)))
-    assert [r.slot for r in found] == sorted(r.slot for r in found)
+def stream(texts):
     code = tokens.encoder(tokens.default_path())
-    want = {}
-    for i, (text, ids) in enumerate(zip(TEXTS * 3, code.encode(TEXTS * 3))):
-        want[i] = [*ids.tolist(), 1]
-    got, seen = {i: 0 for i in want}, []
+    return [t for ids in code.encode(texts) for t in [*ids.tolist(), 1]]
+
+
+def in_order(spark, path, layout):
+    """The tokens of the records by number, read with plain seeks at the addresses of their slots."""
+    out = []
+    for slot in shards.permute(np.arange(layout.total), layout.total, layout.key):
+        (file,) = (path / "shards" / f"shard={slot // layout.slots_per_shard}").glob("part-*")
+        with open(file, "rb") as f:
+            f.seek(int(slot) % layout.slots_per_shard * layout.size)
+            out += np.frombuffer(f.read(layout.size), "<u2").tolist()
+    return out
+
+
+def test_round_trip(spark, make_docs, tmp_path):
+    """Records, read by address in the order of their numbers, are the stream of all tokens in the order of the rows."""
+    texts = TEXTS * 3
+    docs = make_docs(texts).withColumn("slot", F.lit("mine")).withColumn("shard", F.lit(1)).withColumn("run", F.lit(0)).coalesce(1)
+    docs.write.parquet(str(tmp_path / "in"))
+    docs = spark.read.parquet(str(tmp_path / "in"))
+    layout = shards.write_shards(docs, str(tmp_path / "out"), key=5, stride=64, slots_per_shard=16)
+    want = stream(texts)
+    got = in_order(spark, tmp_path / "out", layout)
+    assert got[: len(want)] == want and set(got[len(want) :]) <= {1} and 0 <= len(got) - len(want) < 64
+    found = shards.training_order(docs, 5, path=str(tmp_path / "again"), stride=64, slots_per_shard=16).collect()
+    assert sorted(r.slot for r in found) == list(range(layout.total))
+    bounds = np.cumsum([0] + [len(stream([t])) for t in texts])
+    number = {int(s): k for k, s in enumerate(shards.permute(np.arange(layout.total), layout.total, 5))}
     for r in found:
-        assert len(r.record) == 128 and zlib.crc32(bytes(r.record)) == r.record_crc32
-        assert (r.shard, r.byte_offset) == (r.slot // 16, r.slot % 16 * 128)
-        seen += np.frombuffer(bytes(r.record), "<u2")[: r.n_tokens].tolist()
-        for i in r.doc_ids:
-            got[i] += 1
-    assert sorted(seen) == sorted(t for ids in want.values() for t in ids) and all(got.values())
-    shards.write_shards(out, str(tmp_path / "shards"))
-    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "shards").glob("part-*")))
-    assert len(data) == 129 * len(found)
-    assert [data[k * 129 : k * 129 + 128] for k in range(len(found))] == [bytes(r.record) for r in found]
-
-
-def test_no_rows_and_null_ids(spark):
+        lo = number[r.slot] * 64
+        assert (r.shard, r.byte_offset) == (r.slot // 16, r.slot % 16 * 128) and r.n_tokens == min(64, len(want) - lo)
+        assert r.doc_ids == [i for i in range(len(texts)) if bounds[i] < lo + 64 and bounds[i + 1] > lo]
+        assert zlib.crc32(np.array(got[lo : lo + 64], "<u2").tobytes()) == r.record_crc32
+
+
+def test_order_does_not_depend_on_the_partitions(spark, make_docs, tmp_path):
+    make_docs([f"text {k} " * (k % 7) for k in range(300)]).repartition(3).write.option("parquet.block.size", 2000).parquet(str(tmp_path / "in"))
+    files = []
+    for k, size in enumerate(("128m", "3k")):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        docs = spark.read.parquet(str(tmp_path / "in"))
+        assert k == 0 or docs.rdd.getNumPartitions() > 3
+        layout = shards.write_shards(docs, str(tmp_path / f"out{k}"), key=9, stride=32, slots_per_shard=8)
+        files.append(in_order(spark, tmp_path / f"out{k}", layout))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert files[0] == files[1]
+
+
+def test_reading_and_writing_go_on_where_they_stopped(spark, make_docs, tmp_path):
+    docs = make_docs(["some words here " * k for k in range(60)])
+    args = {"key": 3, "stride": 16, "slots_per_shard": 8}
+    layout = shards.write_shards(docs, str(tmp_path), **args)
+    every = sorted((r.slot, r.shard, r.byte_offset, bytes(r.record)) for r in shards.read_records(spark, str(tmp_path), layout).collect())
+    some = sorted((r.slot, r.shard, r.byte_offset, bytes(r.record)) for r in shards.read_records(spark, str(tmp_path), layout, 21, 50).collect())
+    assert [r[0] for r in every] == list(range(layout.total)) and some == every[21:50]
+    files = {k: next((tmp_path / "shards" / f"shard={k}").glob("part-*")) for k in range(layout.shards)}
+    kept = files[0].stat().st_mtime_ns
+    files[1].unlink()
+    files[2].write_bytes(b"half")
+    assert shards.whole_shards(spark, str(tmp_path), layout) == [k for k in range(layout.shards) if k not in (1, 2)]
+    shards.write_shards(docs, str(tmp_path), **args)
+    again = sorted((r.slot, r.shard, r.byte_offset, bytes(r.record)) for r in shards.read_records(spark, str(tmp_path), layout).collect())
+    assert again == every and files[0].stat().st_mtime_ns == kept
+
+
+def test_no_rows_and_null_ids(spark, tmp_path):
     docs = spark.createDataFrame([(None, "a"), (None, "a")], "doc_id long, text string")
-    assert sum(r.n_tokens for r in shards.training_order(docs, 1, stride=8).collect()) == 4
+    found = shards.training_order(docs, 1, stride=8).collect()
+    assert sum(r.n_tokens for r in found) == 4 and [r.doc_ids for r in found] == [[None, None]]
     assert shards.training_order(docs.limit(0), 1).collect() == []

@@ -5,19 +5,23 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: What str.split() takes as white space, as a Java pattern.
-WHITE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+_ODD = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WHITE = rf"[ {_ODD}]+"
+#: White space other than a single blank: what ``collapse`` has to change.
+_RUN = rf"[{_ODD}][ {_ODD}]*| [ {_ODD}]+"
 SHINGLE = 5
 
 
 def collapse(text: Column) -> Column:
     """White space of any kind to single blanks, trimmed."""
-    return F.trim(F.regexp_replace(text, WHITE, " "))
+    return F.trim(F.regexp_replace(text, _RUN, " "))
 
 
 @F.pandas_udf(StringType())
@@ -53,9 +57,16 @@ def shingles(canonical: Column, n: int = SHINGLE) -> Column:
     return F.when(F.length(canonical) < n, F.array(canonical)).when(pairs, F.array_distinct(slow)).otherwise(F.array_distinct(each))
 
 
-@F.pandas_udf(StringType())
-def _cut_bytes(texts: pd.Series, limits: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else x.encode("utf-8", "surrogatepass")[: int(n)].decode("utf-8", "ignore") for x, n in zip(texts, limits)])
+def shingle_hashes(canonical: str, n: int = SHINGLE) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct ``shingles`` of a text: a polynomial of the code points, with its bits mixed."""
+    points = np.frombuffer(canonical.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    width = min(n, len(points))
+    total = np.zeros(len(points) - width + 1, np.uint64)
+    for k in range(width):
+        total = total * np.uint64(0x9FB21C651E98DF25) + points[k : k + len(total)] + np.uint64(1)
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        total = (total ^ (total >> np.uint64(shift))) * np.uint64(factor)
+    return np.unique(total ^ (total >> np.uint64(33)))
 
 
 def utf8_truncate(text: Column, limit: int) -> Column:

@@ -31,11 +31,7 @@ s AS (SELECT raw, reference, CASE WHEN contains(raw, '<final>') THEN CASE WHEN l
 
 
 def _strict(df):
-    """Tagged rows are decided natively; only the others reach the scanner."""
-    tagged = df.where(F.contains("raw", F.lit("<final>"))).withColumn("x", A.final_tag(F.col("raw")))
-    scan = A.extractor_udf(A.extract_strict, ("status", "value"))
-    other = df.where(~F.contains("raw", F.lit("<final>"))).withColumn("x", scan("raw"))
-    return tagged.unionByName(other).select(*df.columns, "x.status", "x.value")
+    return df.withColumn("x", A.strict(F.col("raw"))).select(*df.columns, "x.status", "x.value")
 
 
 @query("extract_strict", f"{_STRICT} SELECT * FROM s")
@@ -51,16 +47,15 @@ def _(spark, d):
     return s.select("raw", "reference", F.col("status").alias("extract_status"), F.col("value").alias("prediction"), verdict.alias("verifier_status"))
 
 
-@query("boxed_scan")
+@query("boxed_scan", f"{_D} SELECT raw, CASE WHEN raw LIKE '\\boxed%' THEN [regexp_extract(raw, '\\{{(.*)\\}}', 1)] ELSE CAST([] AS VARCHAR[]) END AS groups FROM v")
 def _(spark, d):
     scan = F.pandas_udf(lambda x: x.map(A.boxed), "array<string>")
     return _distinct(spark, d).select("raw", scan("raw").alias("groups"))
 
 
-@query("dollar_groups")
+@query("dollar_groups", f"{_D} SELECT DISTINCT raw, list_filter(list_transform(regexp_extract_all(raw, '(?s)\\\\\\$|\\$(.*?)\\$', 1), lambda x: trim(x)), lambda x: x <> '') AS groups FROM v")
 def _(spark, d):
-    scan = F.pandas_udf(lambda x: x.map(lambda t: A.dollar_groups(t, "$")), "array<string>")
-    return _distinct(spark, d).select("raw", scan("raw").alias("groups"))
+    return _distinct(spark, d).select("raw").distinct().select("raw", A.dollar_spans(F.col("raw")).alias("groups"))
 
 
 @query("extract_solution", f"""{ANSWERS and "WITH " + ANSWERS}, v AS (SELECT DISTINCT q, n FROM answers)
@@ -72,7 +67,7 @@ def _(spark, d):
     return v.withColumn("x", scan(solution)).select("q", "n", "x.status", "x.value", "x.method")
 
 
-@query("extract_terminal")
+@query("extract_terminal", f"WITH {ANSWERS} SELECT DISTINCT q, n, 'ok' AS status, CAST(q AS VARCHAR) AS value, 'terminal_assignment' AS method FROM answers")
 def _(spark, d):
     v = answers(spark, d).select("q", "n").distinct()
     scan = A.extractor_udf(A.extract_terminal, ("status", "value", "method"))

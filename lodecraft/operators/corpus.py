@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
-from ..functions import text
-from ..storage import materialise
+from ..functions import answers, text
+from ..storage import drop, materialise
 from .graph import components
 from .numbering import number_rows
+from .skew import hot_limit, join_counted
 
 # Quarantine reasons, ratios of the splits.
 REASONS = ("missing_problem", "missing_answer", "ambiguous_answer", "unverifiable_reference", "parse_error")
@@ -16,29 +22,66 @@ TRAIN, SFT_DEV = 0.9, 0.05
 UNIT = "\x1f"
 
 
-def route(records: DataFrame) -> DataFrame:
-    """Each raw record with canonical, content_key, source_hash, task_id and its route: ``kept`` or a quarantine reason."""
-    canonical = text.canonical_text(F.col("problem"))
-    out = records.withColumn("canonical", canonical)
-    joined = F.concat(*[x for c in ("dataset", "row_id", "problem", "answer") for x in (F.lit(UNIT), F.coalesce(F.col(c).cast("string"), F.lit("")))][1:])
+def answer_of(records: DataFrame, answer_col: str | None = "answer", solution_col: str | None = None) -> tuple[Column, Column]:
+    """(value, how): a record's answer and where it is from, ``answer``, ``solution`` or ``missing``.
+
+    A source with an answer column uses that alone: strings and numbers as text, booleans and blanks not. One with a solution column has the answer
+    extracted from it. Values are normalised on the surface.
+    """
+    none = F.lit(None).cast("string")
+    if answer_col is not None:
+        kind = records.schema[answer_col].dataType
+        value = none if isinstance(kind, BooleanType) else F.col(answer_col).cast("string")
+        found, how = F.when(F.length(text.collapse(value)) > 0, value), "answer"
+    elif solution_col is not None:
+        scan = answers.extractor_udf(answers.extract_solution, ("status", "value", "method"))
+        found, how = scan(F.col(solution_col).cast("string"))["value"], "solution"
+    else:
+        return none, F.lit("missing")
+    if answer_col is not None and isinstance(kind, NumericType):
+        tidy = found
+    else:
+        tidy = F.when(found.isNotNull(), text.normalize_surface(text.canonical_text(found)))
+    return tidy, F.when(found.isNotNull(), F.lit(how)).otherwise(F.lit("missing"))
+
+
+def route(records: DataFrame, answer_col: str | None = "answer", solution_col: str | None = None, type_col: str | None = None) -> DataFrame:
+    """Each raw record with canonical, content_key, source_hash, task_id, reference_value, answer_source and its route: ``kept`` or a quarantine reason.
+
+    A record is kept if its problem is not blank, an answer is found, and that answer verifies against itself as its type (``type_col``; integer where there is none).
+    Extraction from a solution is never ambiguous, so ``ambiguous_answer`` is for callers that extract otherwise.
+    """
+    out = records.withColumn("canonical", text.canonical_text(F.col("problem")))
+    hashed = [c for c in ("dataset", "row_id", "problem", answer_col, solution_col) if c is not None]
+    joined = F.concat(*[x for c in hashed for x in (F.lit(UNIT), F.coalesce(F.col(c).cast("string"), F.lit("")))][1:])
     out = out.withColumn("source_hash", text.sha256_hex(joined)).withColumn("content_key", text.sha256_hex(F.col("canonical")))
     out = out.withColumn("task_id", F.concat("dataset", F.lit(":"), F.left("content_key", F.lit(20))))
+    value, how = answer_of(records, answer_col, solution_col)
+    out = out.withColumn("reference_value", value).withColumn("answer_source", how)
+    kind = F.col(type_col) if type_col else F.lit("integer")
     reason = (
         F.when(F.col("problem").isNull() | (F.col("canonical") == ""), F.lit("missing_problem"))
-        .when(F.col("answer").isNull() | (F.trim("answer") == ""), F.lit("missing_answer"))
-        .when(~F.col("answer").rlike(r"^[+-]?\d+$"), F.lit("unverifiable_reference"))
+        .when(F.col("reference_value").isNull() | (F.col("reference_value") == ""), F.lit("missing_answer"))
+        .when(~answers.self_verifies(F.col("reference_value"), kind), F.lit("unverifiable_reference"))
         .otherwise(F.lit("kept"))
     )
     return out.withColumn("route", reason)
 
 
-def exact_dedup(tasks: DataFrame) -> DataFrame:
-    """One task for each content key: held-out data before training data, then the smallest id.
+def metadata(record: DataFrame, columns: dict[str, str]) -> Column:
+    """JSON of the listed columns under their new names, in that order; only strings, numbers and booleans that are not null."""
+    kinds = dict(record.dtypes)
+    scalar = [(c, k) for c, k in columns.items() if c in kinds and not kinds[c].startswith(("array", "map", "struct", "binary"))]
+    return F.to_json(F.struct(*[F.col(c).alias(k) for c, k in scalar])) if scalar else F.lit("{}")
 
-    A min over a struct: combined before the shuffle, so a text with many copies is one row from each task.
+
+def exact_dedup(tasks: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(content_key, task_id, dataset, intended_use, row_id, copies, *carry) of one task for each content key: held-out data before training data, then the smallest id.
+
+    A min over a struct of keys: combined before the shuffle, so a text with many copies is one row from each task, and texts move only if carried.
     """
     rank = F.struct((F.col("intended_use") == "train").alias("t"), F.col("task_id"), F.col("row_id"))
-    keep = [c for c in tasks.columns if c != "content_key"]
+    keep = ["task_id", "dataset", "intended_use", "row_id", *carry]
     best = tasks.groupBy("content_key").agg(F.min_by(F.struct(*keep), rank).alias("w"), F.count(F.lit(1)).alias("copies"))
     return best.select("content_key", "w.*", "copies")
 
@@ -57,36 +100,88 @@ def assign_splits(winners: DataFrame, seed: int = 7) -> DataFrame:
     return done.unionByName(winners.where("intended_use = 'eval'").select("task_id", "dataset", F.lit("frozen_eval").alias("split")))
 
 
-#: Counters of shingles; with their keys a table of at most about 50 MB, which is broadcast.
+#: Counters of shingles: a table of 8 MB that every task reads.
 COUNTERS = 1 << 20
 
 
+def _hashed(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    for batch in batches:
+        for at in range(0, len(batch), 256):
+            part = batch.slice(at, 256)
+            yield part, [text.shingle_hashes(x or "") for x in part.column(column).to_pylist()]
+
+
+def _prefixes(texts: DataFrame, threshold: float) -> DataFrame:
+    """(g, id, n, p): the rarest shingles of each text that a near-duplicate must share one of, with their place in the order."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for _, sets in _hashed(batches, 1):
+            total += np.bincount(np.concatenate(sets) % np.uint64(COUNTERS), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["c", "f"])
+
+    spark = texts.sparkSession
+    counts = np.zeros(COUNTERS, np.int64)
+    found = texts.mapInArrow(count, "c long, f long").groupBy("c").agg(F.sum("f").alias("f")).toArrow()  # at most COUNTERS rows
+    counts[found["c"].to_numpy()] = found["f"].to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = shared.value
+        for part, sets in _hashed(batches, 1):
+            sizes = [len(x) - int(np.ceil(len(x) * threshold - 1e-9)) + 1 for x in sets]
+            firsts = [x[np.lexsort((x, rarity[x % np.uint64(COUNTERS)]))[:k]] for x, k in zip(sets, sizes)]
+            of = np.repeat(np.arange(len(part)), sizes)
+            place = np.concatenate([np.arange(k) for k in sizes]) if sizes else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), part.column(0).take(pa.array(of)), pa.array(np.array([len(x) for x in sets])[of]), pa.array(place)], ["g", "id", "n", "p"])
+
+    kind = dict(texts.dtypes)["id"]
+    return texts.select("id", "canonical").mapInArrow(prefix, f"g long, id {kind}, n long, p long")
+
+
 def near_pairs(texts: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(a, b, common, total) of all pairs a < b of (id, canonical) whose 5-character shingle sets have Jaccard >= threshold.
 
-    Exact, by prefix filtering: shingles are ordered from rare to common; two sets that similar share a shingle among the
+    Exact, by prefix filtering: shingles, as 64-bit hashes, are ordered from rare to common; two sets that similar share one among the
     first ``size - ceil(threshold * size) + 1`` of each. Any total order is right, so rarity is counted in a fixed number of
-    counters by hash: their table is bounded and broadcast, and shingles, many times the text, are never shuffled but
-    for the prefixes. Candidates must also be close in size; then whole sets are compared.
+    counters by hash; shingles, many times the text, stay in their task but for the prefixes. Candidates must be close in size, and have
+    enough left after the shared shingle; then whole sets are compared.
     """
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = texts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = materialise(texts.select("id", "canonical").repartition(parts, "id"), "texts")
-    hashed = F.array_distinct(F.transform(text.shingles(F.col("canonical")), lambda x: F.xxhash64(x)))
-    counter = F.pmod(F.col("g"), F.lit(COUNTERS))
-    counts = texts.select(F.explode(hashed).alias("g")).groupBy(counter.alias("c")).agg(F.count(F.lit(1)).alias("f"))
-    grams = texts.repartition(parts, "id").select("id", F.posexplode(hashed).alias("at", "g")).withColumn("c", counter)
-    per_id = Window.partitionBy("id")
-    placed = grams.join(F.broadcast(counts), "c").withColumn("n", F.count(F.lit(1)).over(per_id)).withColumn("p", F.row_number().over(per_id.orderBy("f", "g")))
-    prefix = materialise(placed.where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1).select("g", "id", "n"), "prefix")
-    x, y = prefix.select("g", F.col("id").alias("a"), F.col("n").alias("na")), prefix.select("g", F.col("id").alias("b"), F.col("n").alias("nb"))
-    close = (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold)) & (F.col("a") < F.col("b"))
+    prefix = materialise(_prefixes(texts, threshold), "prefix")
+    x, y = prefix.select("g", F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa")), prefix.select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    least = F.ceil((F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-6)
+    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold)) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb") >= least)
     pairs = materialise(x.join(y, "g").where(close).select("a", "b").distinct(), "candidates")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = texts.join(ends, "id", "left_semi").select("id", hashed.alias("s"))
-    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    full = full.withColumn("common", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    full = full.withColumn("total", F.size("sa") + F.size("sb") - F.col("common"))
-    return full.where(F.col("common") >= F.col("total") * F.lit(threshold)).select("a", "b", "common", F.col("total").cast("long").alias("total"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in _hashed(batches, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.tobytes() for v in found], pa.binary())], ["id", "s"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            common, total = [], []
+            for one, other in zip(batch.column(2), batch.column(3)):
+                both = np.concatenate([np.frombuffer(one.as_buffer(), np.uint64), np.frombuffer(other.as_buffer(), np.uint64)])
+                both.sort(kind="stable")
+                common.append(int(np.count_nonzero(both[1:] == both[:-1])))
+                total.append(len(both) - common[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
+
+    kind = dict(texts.dtypes)["id"]
+    held = materialise(texts.join(ends, "id", "left_semi").mapInArrow(sets, f"id {kind}, s binary"), "sets")
+    limit = hot_limit(pairs.count(), spark)
+    hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    partners = pairs.join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    full = join_counted(partners, hubs, ["a"], F.col("b"), "n", limit).select("a", "b", "sa", "sb").mapInArrow(compare, f"a {kind}, b {kind}, common long, total long")
+    done = materialise(full.where(F.col("common") >= F.col("total") * F.lit(threshold)), "near")
+    for used in (texts, prefix, pairs, held):
+        drop(spark, used)
+    return done
 
 
 def id_digest(ids: DataFrame, by: str, column: str) -> DataFrame:

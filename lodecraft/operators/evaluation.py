@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Statuses, and resamples with the order statistics of a 95 % interval.
-STATUSES = ("correct", "incorrect", "invalid_prediction", "missing")
+STATUSES = ("correct", "incorrect", "invalid_prediction", "invalid_reference", "timeout", "internal_error")
 RESAMPLES = 10_000
 
 
 def arm_summary(rows: DataFrame) -> DataFrame:
     """Counts by status, accuracy, token and latency statistics of each arm; a batch's time counts once."""
     counts = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in STATUSES]
-    main = rows.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), *counts, F.round(F.avg(F.col("correct").cast("double")), 9).alias("accuracy"), F.round(F.avg("output_tokens"), 9).alias("mean_tokens"), F.percentile("output_tokens", 0.5).alias("median_tokens"), F.round(F.percentile("latency_ms", 0.5), 9).alias("p50_ms"), F.round(F.percentile("latency_ms", 0.95), 9).alias("p95_ms"), F.sum("output_tokens").cast("long").alias("tokens"))
+    main = rows.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), *counts, F.round(F.avg(F.col("correct").cast("double")), 9).alias("accuracy"), F.round(F.count_if(F.col("status").isin("correct", "incorrect")) / F.count(F.lit(1)), 9).alias("valid_rate"), F.round(F.avg("output_tokens"), 9).alias("mean_tokens"), F.percentile("output_tokens", 0.5).alias("median_tokens"), F.round(F.percentile("latency_ms", 0.5), 9).alias("p50_ms"), F.round(F.percentile("latency_ms", 0.95), 9).alias("p95_ms"), F.sum("output_tokens").cast("long").alias("tokens"))
     batches = rows.groupBy("arm", "batch").agg(F.max("latency_ms").alias("ms")).groupBy("arm").agg(F.round(F.sum("ms") / 1000, 6).alias("elapsed_s"))
     return main.join(batches, "arm").withColumn("tokens_per_s", F.round(F.col("tokens") / F.col("elapsed_s"), 6))
 
@@ -38,20 +38,31 @@ def mcnemar(improved: Column, regressed: Column) -> Column:
     return F.round(F.least(F.lit(1.0), F.lit(2.0) * total), 9)
 
 
+def draw(b: Column, j: Column, n: int, seed: int) -> Column:
+    """A pseudo-random whole number under ``n`` for draw ``j`` of resample ``b``: three rounds of squaring and scaling modulo 2**31 - 1, in longs only."""
+    prime = F.lit((1 << 31) - 1)
+    x = (b * F.lit(48271) + j % prime * F.lit(69621) + F.floor(j / prime) * F.lit(16807) + F.lit(seed * 1_000_003 + 12345)) % prime
+    for add in (40692, 39373, 742938285):
+        x = (x * x % prime * F.lit(16807) + x * F.lit(48271) + b * F.lit(31) + j % prime + F.lit(add)) % prime
+    return x % F.lit(n)
+
+
 def bootstrap(pairs: DataFrame, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
     """(n, delta, low, high): percentile interval of the mean difference over seeded resamples of the pairs.
 
-    A pair's difference is -1, 0 or 1, so a resample is a draw from three counts: draw j of resample b falls where
-    the hash of (seed, b, j) modulo n lies in the counts. Only the counts are needed, not the rows; draws are made where they are summed.
+    A pair's difference is -1, 0 or 1, so a resample is a draw from three counts, which alone reach the driver: draw j of resample b
+    falls where ``draw`` lies in them. Draws are numbers of a range, made and summed in generated code where they are; only one sum a resample and task is moved.
     """
+    spark = pairs.sparkSession
     d = F.col("sft").cast("int") - F.col("base").cast("int")
-    counts = pairs.agg(F.count(F.lit(1)).alias("n"), F.count_if(d == 1).alias("up"), F.count_if(d == -1).alias("down"))
-    draws = counts.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition("b")
-    draws = draws.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    slot = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("b"), F.col("j"))), 1, 8), 16, 10).cast("long") % F.col("n")
-    value = F.when(slot < F.col("up"), 1).when(slot < F.col("up") + F.col("down"), -1).otherwise(0)
-    means = draws.groupBy("b", "n", "up", "down").agg(F.sum(value).alias("s"))
+    n, up, down = pairs.agg(F.count(F.lit(1)), F.count_if(d == 1), F.count_if(d == -1)).first()
+    if not n:
+        return spark.createDataFrame([], "n long, delta double, low double, high double")
+    slot = draw(F.col("b"), F.col("j"), n, seed)
+    value = F.when(slot < up, 1).when(slot < up + down, -1).otherwise(0)
+    draws = spark.range(resamples * n).select(F.floor(F.col("id") / n).cast("long").alias("b"), (F.col("id") % n).alias("j"))
+    sums = draws.select("b", value.alias("v")).groupBy("b").agg(F.sum("v").alias("s"))
     k = resamples // 40
-    ordered = means.groupBy("n", "up", "down").agg(F.array_sort(F.collect_list("s")).alias("s"))  # one number a resample
-    at = lambda i: F.round(F.element_at("s", i) / F.col("n"), 9)
-    return ordered.select("n", F.round((F.col("up") - F.col("down")) / F.col("n"), 9).alias("delta"), at(k).alias("low"), at(resamples - k).alias("high"))
+    ordered = sums.groupBy().agg(F.array_sort(F.collect_list("s")).alias("s"))  # one number a resample
+    at = lambda i: F.round(F.element_at("s", i) / F.lit(n), 9)
+    return ordered.select(F.lit(n).cast("long").alias("n"), F.lit(round((up - down) / n, 9)).alias("delta"), at(k).alias("low"), at(resamples - k).alias("high"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import corpus
 from ..operators.numbering import number_rows
+from ..storage import materialise
 from .registry import query
 from .views import CANON, KEPT, RECORDS, SPLITS, records, table
 
@@ -19,12 +20,12 @@ def tasks(spark, d):
     return corpus.route(records(spark, d)).where("route = 'kept'")
 
 
-def winners(spark, d):
-    return corpus.exact_dedup(tasks(spark, d))
+def winners(spark, d, carry=()):
+    return corpus.exact_dedup(tasks(spark, d), carry)
 
 
 def splits(spark, d):
-    return corpus.assign_splits(winners(spark, d))
+    return corpus.assign_splits(materialise(winners(spark, d), "winners"))
 
 
 @query("exact_dedup", f"WITH {KEPT} SELECT task_id, dataset, content_key, copies FROM winners JOIN (SELECT content_key, count(*) AS copies FROM tasks GROUP BY 1) USING (content_key)")
@@ -86,10 +87,12 @@ def _(spark, d):
 @query("manifest_row", f"""WITH {SPLITS} SELECT (SELECT count(*) FROM routed) AS loaded, (SELECT count(*) FROM routed WHERE route <> 'kept') AS quarantined, (SELECT count(*) FROM tasks) - (SELECT count(*) FROM winners) AS exact_removed,
   count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'sft_dev') AS sft_dev, count(*) FILTER (split = 'rl_dev') AS rl_dev, count(*) FILTER (split = 'frozen_eval') AS frozen_eval FROM splits""")
 def _(spark, d):
-    routed = corpus.route(records(spark, d)).agg(F.count(F.lit(1)).alias("loaded"), F.count_if(F.col("route") != "kept").alias("quarantined"))
-    removed = winners(spark, d).agg((F.sum("copies") - F.count(F.lit(1))).alias("exact_removed"))
-    sizes = splits(spark, d).agg(*[F.count_if(F.col("split") == s).alias(s) for s in ("train", "sft_dev", "rl_dev", "frozen_eval")])
-    return routed.join(removed).join(sizes)  # three rows of aggregates
+    routed = materialise(corpus.route(records(spark, d)).select("route", "content_key", "task_id", "dataset", "intended_use", "row_id"), "routed")
+    kept = materialise(corpus.exact_dedup(routed.where("route = 'kept'")), "winners")
+    loaded = routed.agg(F.count(F.lit(1)).alias("loaded"), F.count_if(F.col("route") != "kept").alias("quarantined"))
+    removed = kept.agg((F.sum("copies") - F.count(F.lit(1))).alias("exact_removed"))
+    sizes = corpus.assign_splits(kept).agg(*[F.count_if(F.col("split") == s).alias(s) for s in ("train", "sft_dev", "rl_dev", "frozen_eval")])
+    return loaded.join(removed).join(sizes)  # three rows of aggregates
 
 
 @query("split_audit", f"""WITH {SPLITS}, pool AS (SELECT task_id FROM splits WHERE split <> 'frozen_eval')
@@ -149,9 +152,10 @@ def _(spark, d):
     return splits(spark, d).where("split = 'frozen_eval'")
 
 
-@query("metadata_project", f"WITH {CANON} SELECT task_id, row_id, to_json(struct_pack(lang := 'x', rows := row_id)) AS metadata FROM tasks")
+@query("metadata_project", "SELECT doc_id, to_json(struct_pack(language := lang, chars := n_chars)) AS metadata FROM documents")
 def _(spark, d):
-    return tasks(spark, d).select("task_id", "row_id", F.to_json(F.struct(F.lit("x").alias("lang"), F.col("row_id").alias("rows"))).alias("metadata"))
+    docs = table(spark, d, "documents").withColumn("tags", F.array("lang"))
+    return docs.select("doc_id", corpus.metadata(docs, {"lang": "language", "n_chars": "chars", "tags": "tags", "absent": "gone"}).alias("metadata"))
 
 
 @query("task_flatten", f"WITH {CANON} SELECT task_id, problem, 'integer' AS answer_type, dataset, 'unassigned' AS split, source_hash, 'canonicalize-v1' AS pipeline_version, '{{}}' AS metadata, answer AS reference_value, CAST([] AS VARCHAR[]) AS reference_acceptable_forms FROM tasks")
@@ -181,9 +185,9 @@ def _(spark, d):
     return records(spark, d).select("dataset").distinct().withColumn("license", license_).where(~F.lower("license").isin(*LICENSES))
 
 
-@query("answer_source_precedence", f"""WITH {RECORDS} SELECT dataset, row_id, CASE WHEN answer IS NOT NULL THEN 'answer' WHEN problem LIKE '%answer%' THEN 'solution' ELSE 'missing' END AS answer_source FROM records""")
+@query("answer_source_precedence", f"""WITH {RECORDS} SELECT dataset, row_id, CASE WHEN answer IS NOT NULL THEN 'answer' ELSE 'missing' END AS answer_source FROM records""")
 def _(spark, d):
-    return records(spark, d).select("dataset", "row_id", F.when(F.col("answer").isNotNull(), "answer").when(F.col("problem").contains("answer"), "solution").otherwise("missing").alias("answer_source"))
+    return records(spark, d).select("dataset", "row_id", corpus.answer_of(records(spark, d))[1].alias("answer_source"))
 
 
 @query("sort_task_id", f"WITH {CANON} SELECT task_id, row_id, row_number() OVER (ORDER BY task_id, row_id) AS place FROM tasks")
@@ -250,15 +254,45 @@ def _(spark, d):
     return canon.select("dataset", "row_id", F.size(text.shingles(F.col("canonical"))).cast("long").alias("n"))
 
 
+#: Every pair that shares a shingle is counted: no prefix, no order of shingles.
 _NEAR = f"""WITH {KEPT}, g AS (SELECT DISTINCT task_id AS id, unnest(list_transform(range(1, greatest(1, length(canonical) - 4) + 1), lambda i: substr(canonical, i, 5))) AS g FROM winners),
-n AS (SELECT id, count(*) AS n FROM g GROUP BY 1), f AS (SELECT g, count(*) AS f FROM g GROUP BY 1),
-o AS (SELECT g.id, g.g, n.n, row_number() OVER (PARTITION BY g.id ORDER BY f.f, g.g) AS p FROM g JOIN n USING (id) JOIN f USING (g)),
-pre AS (SELECT * FROM o WHERE p <= n - ceil(n * 0.9) + 1),
-cand AS (SELECT DISTINCT x.id AS a, y.id AS b FROM pre x JOIN pre y ON x.g = y.g AND x.id < y.id AND least(x.n, y.n) >= greatest(x.n, y.n) * 0.9),
-cnt AS (SELECT a, b, count(*) AS common FROM cand JOIN g x ON x.id = a JOIN g y ON y.id = b AND y.g = x.g GROUP BY 1, 2)
-SELECT a, b, common, x.n + y.n - common AS total FROM cnt JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE common >= (x.n + y.n - common) * 0.9"""
+n AS (SELECT id, count(*) AS n FROM g GROUP BY 1), sized AS (SELECT g.id, g.g, n.n FROM g JOIN n USING (id)),
+cnt AS (SELECT x.id AS a, y.id AS b, x.n AS na, y.n AS nb, count(*) AS common FROM sized x JOIN sized y ON x.g = y.g AND x.id < y.id AND least(x.n, y.n) >= greatest(x.n, y.n) * 0.9 GROUP BY ALL)
+SELECT a, b, common, na + nb - common AS total FROM cnt WHERE common >= (na + nb - common) * 0.9"""
 
 
 @query("near_pairs_exact", _NEAR)
 def _(spark, d):
-    return corpus.near_pairs(winners(spark, d).select(F.col("task_id").alias("id"), "canonical"))
+    return corpus.near_pairs(winners(spark, d, ["canonical"]).select(F.col("task_id").alias("id"), "canonical"))
+
+
+def typed_records(spark, d):
+    """Records whose answers are of four types, some malformed, some only within a solution: (dataset, row_id, problem, kind, answer, solution)."""
+    n, k = F.col("n_chars").cast("string"), F.col("doc_id").cast("string")
+    forms = [n, F.concat(n, F.lit("."), k), F.concat(k, F.lit("/"), (F.col("doc_id") % 5).cast("string")), F.concat(F.lit("{"), k, F.lit(", "), n, F.lit("}")), F.concat(F.lit("{"), k, F.lit(",, "), n, F.lit("}")), F.concat(F.lit("["), n, F.lit(", "), k, F.lit(")")), F.concat(F.lit("["), n, F.lit(", "), k), F.lit("  ")]
+    kinds = ["integer", "integer", "rational", "set", "set", "interval", "interval", "integer"]
+    form = (F.col("doc_id") % 8).cast("int") + 1
+    docs = table(spark, d, "documents")
+    return docs.select(F.col("source").alias("dataset"), F.col("doc_id").alias("row_id"), F.col("text").alias("problem"), F.element_at(F.array(*[F.lit(x) for x in kinds]), form).alias("kind"), F.element_at(F.array(*forms), form).alias("answer"))
+
+
+_TYPED = """t AS (SELECT source AS dataset, doc_id AS row_id, text AS problem, ['integer', 'integer', 'rational', 'set', 'set', 'interval', 'interval', 'integer'][doc_id % 8 + 1] AS kind,
+  trim(CASE doc_id % 8 WHEN 0 THEN n_chars || '' WHEN 1 THEN n_chars || '.' || doc_id WHEN 2 THEN doc_id || '/' || doc_id % 5 WHEN 3 THEN '{' || doc_id || ', ' || n_chars || '}' WHEN 4 THEN '{' || doc_id || ',, ' || n_chars || '}' WHEN 5 THEN '[' || n_chars || ', ' || doc_id || ')' WHEN 6 THEN '[' || n_chars || ', ' || doc_id ELSE '  ' END) AS answer FROM documents)"""
+
+
+@query("canonicalize_typed", rf"""WITH {_TYPED} SELECT dataset, row_id, kind, CASE WHEN answer <> '' THEN answer END AS reference_value, CASE WHEN answer = '' THEN 'missing' ELSE 'answer' END AS answer_source,
+  CASE WHEN regexp_full_match(problem, '\s*') THEN 'missing_problem' WHEN answer = '' THEN 'missing_answer'
+    WHEN CASE kind WHEN 'integer' THEN regexp_full_match(answer, '[+-]?\d+') WHEN 'rational' THEN regexp_full_match(answer, '\d+(/0*[1-9]\d*)?') WHEN 'set' THEN regexp_full_match(answer, '\{{\s*\d+(\s*,\s*\d+)*\s*\}}') ELSE regexp_full_match(answer, '[\[(]\s*\d+\s*,\s*\d+\s*[\])]') END THEN 'kept' ELSE 'unverifiable_reference' END AS route FROM t""")
+def _(spark, d):
+    return corpus.route(typed_records(spark, d), type_col="kind").select("dataset", "row_id", "kind", "reference_value", "answer_source", "route")
+
+
+@query("canonicalize_solutions", r"""WITH s AS (SELECT conv_id, turn, text, CASE turn % 3 WHEN 0 THEN text || ' The answer is: ' || conv_id || '.' WHEN 1 THEN 'So oxed{' || turn || '} and oxed{' || conv_id || '}' ELSE text END AS solution FROM conversations),
+p AS (SELECT *, regexp_extract_all(solution, '\boxed\{(\d+)\}', 1) AS boxes, regexp_extract_all(solution, '(?i)(?:answer is:|answer:)\s*(\d+)', 1) AS anchors FROM s)
+SELECT conv_id, turn, CASE WHEN len(boxes) > 0 THEN boxes[-1] WHEN len(anchors) > 0 THEN anchors[-1] END AS reference_value, CASE WHEN len(boxes) + len(anchors) > 0 THEN 'solution' ELSE 'missing' END AS answer_source, CASE WHEN regexp_full_match(text, '\s*') THEN 'missing_problem' WHEN len(boxes) + len(anchors) > 0 THEN 'kept' ELSE 'missing_answer' END AS route FROM p""")
+def _(spark, d):
+    c = table(spark, d, "conversations")
+    conv, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    solution = F.when(F.col("turn") % 3 == 0, F.concat("text", F.lit(" The answer is: "), conv, F.lit("."))).when(F.col("turn") % 3 == 1, F.concat(F.lit("So \\boxed{"), turn, F.lit("} and \\boxed{"), conv, F.lit("}"))).otherwise(F.col("text"))
+    rows = c.select(F.lit("talk").alias("dataset"), F.concat_ws("-", conv, turn).alias("row_id"), F.col("text").alias("problem"), solution.alias("solution"), "conv_id", "turn")
+    return corpus.route(rows, None, "solution").select("conv_id", "turn", "reference_value", "answer_source", "route")

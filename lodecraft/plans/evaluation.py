@@ -13,7 +13,7 @@ from .views import MESSAGES, PREDICTIONS, ROLLOUTS, TRACES, messages, prediction
 
 P = f"WITH {PREDICTIONS}"
 PAIRED = f"{P}, pairs AS (SELECT task_id, bool_or(CASE WHEN arm = 'base' THEN correct END) AS base, bool_or(CASE WHEN arm = 'sft' THEN correct END) AS sft FROM predictions GROUP BY 1), outcomes AS (SELECT *, CASE WHEN sft AND NOT base THEN 'improved' WHEN base AND NOT sft THEN 'regressed' ELSE 'unchanged' END AS outcome FROM pairs)"
-_COUNTS = "count(*) FILTER (status = 'correct') AS n_correct, count(*) FILTER (status = 'incorrect') AS n_incorrect, count(*) FILTER (status = 'invalid_prediction') AS n_invalid_prediction, count(*) FILTER (status = 'missing') AS n_missing"
+_COUNTS = "count(*) FILTER (status = 'correct') AS n_correct, count(*) FILTER (status = 'incorrect') AS n_incorrect, count(*) FILTER (status = 'invalid_prediction') AS n_invalid_prediction, count(*) FILTER (status = 'invalid_reference') AS n_invalid_reference, count(*) FILTER (status = 'timeout') AS n_timeout, count(*) FILTER (status = 'internal_error') AS n_internal_error, round(count(*) FILTER (status IN ('correct', 'incorrect')) / count(*), 9) AS valid_rate"
 
 
 @query("arm_summary", f"""{P}, m AS (SELECT arm, count(*) AS n, {_COUNTS}, round(avg(correct::INTEGER), 9) AS accuracy, round(avg(output_tokens), 9) AS mean_tokens, quantile_cont(output_tokens, 0.5)::DOUBLE AS median_tokens, round(quantile_cont(latency_ms, 0.5), 9) AS p50_ms, round(quantile_cont(latency_ms, 0.95), 9) AS p95_ms, sum(output_tokens)::BIGINT AS tokens FROM predictions GROUP BY 1),
@@ -59,7 +59,10 @@ def _(spark, d):
 
 
 @query("bootstrap_ci", f"""{PAIRED}, c AS (SELECT count(*) AS n, count(*) FILTER (outcome = 'improved') AS up, count(*) FILTER (outcome = 'regressed') AS down FROM outcomes),
-dr AS (SELECT n, up, down, b, ('0x' || left(md5('0:' || b || ':' || j), 8))::BIGINT % n AS slot FROM c, range(0, 10000) x(b), range(0, 1000000) y(j) WHERE j < n),
+x0 AS (SELECT n, up, down, b, j, (b * 48271 + j * 69621 + 12345) % 2147483647 AS x FROM c, range(0, 10000) x(b), range(0, 1000000) y(j) WHERE j < n),
+x1 AS (SELECT n, up, down, b, j, (x * x % 2147483647 * 16807 + x * 48271 + b * 31 + j + 40692) % 2147483647 AS x FROM x0),
+x2 AS (SELECT n, up, down, b, j, (x * x % 2147483647 * 16807 + x * 48271 + b * 31 + j + 39373) % 2147483647 AS x FROM x1),
+dr AS (SELECT n, up, down, b, (x * x % 2147483647 * 16807 + x * 48271 + b * 31 + j + 742938285) % 2147483647 % n AS slot FROM x2),
 m AS (SELECT n, up, down, b, sum(CASE WHEN slot < up THEN 1 WHEN slot < up + down THEN -1 ELSE 0 END) AS s FROM dr GROUP BY ALL)
 SELECT n, round((up - down) / n, 9) AS delta, round(list_sort(list(s))[250] / n, 9) AS low, round(list_sort(list(s))[9750] / n, 9) AS high FROM m GROUP BY n, up, down""")
 def _(spark, d):

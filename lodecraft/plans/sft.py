@@ -14,19 +14,19 @@ from .views import CANON, KEPT, MESSAGES, RECORDS, TRACES, messages, records, ta
 
 @query("near_dedup")
 def _(spark, d):
-    return corpus.near_dedup(winners(spark, d))
+    return corpus.near_dedup(winners(spark, d, ["canonical"]))
 
 
 @query("near_pairs_lsh")
 def _(spark, d):
-    return corpus.lsh_pairs(winners(spark, d).select(F.col("task_id").alias("id"), "canonical"))
+    return corpus.lsh_pairs(winners(spark, d, ["canonical"]).select(F.col("task_id").alias("id"), "canonical"))
 
 
 @query("minhash_sig")
 def _(spark, d):
     from ..functions import text
 
-    w = winners(spark, d).select("task_id", text.shingles(F.col("canonical")).alias("s"))
+    w = winners(spark, d, ["canonical"]).select("task_id", text.shingles(F.col("canonical")).alias("s"))
     return w.select("task_id", F.array(*[F.array_min(F.transform("s", lambda x, k=k: F.xxhash64(F.lit(42), F.lit(k), x))) for k in range(16)]).alias("signature"))
 
 

@@ -123,12 +123,12 @@ def predictions(spark: SparkSession, d: str) -> DataFrame:
     rows = number_rows(both, F.floor(F.col("doc_id") / 65536), [F.col("doc_id")], "r").withColumn("batch", F.floor((F.col("r") - 1) / 8).cast("long"))
     one = lambda arm, ok: F.struct(F.lit(arm).alias("arm"), ok.alias("correct"))
     rows = rows.withColumn("a", F.explode(F.array(one("base", F.col("quality") == 1), one("sft", F.col("toxic") == 0))))
-    status = F.when(F.col("a.correct"), F.lit("correct")).when(F.col("doc_id") % 3 == 0, F.lit("invalid_prediction")).when(F.col("doc_id") % 7 == 0, F.lit("missing")).otherwise(F.lit("incorrect"))
+    status = F.when(F.col("a.correct"), F.lit("correct")).when(F.col("doc_id") % 3 == 0, F.lit("invalid_prediction")).when(F.col("doc_id") % 7 == 0, F.lit("timeout")).when(F.col("doc_id") % 11 == 0, F.lit("invalid_reference")).when(F.col("doc_id") % 13 == 0, F.lit("internal_error")).otherwise(F.lit("incorrect"))
     return rows.select(F.col("a.arm").alias("arm"), F.col("doc_id").alias("task_id"), F.col("a.correct").alias("correct"), status.alias("status"), F.col("n_chars").alias("output_tokens"), (F.col("doc_id") * 37 % 1000 / F.lit(10.0)).alias("latency_ms"), "batch")
 
 
 PREDICTIONS = """predictions AS (
-  SELECT arm, doc_id AS task_id, correct, CASE WHEN correct THEN 'correct' WHEN doc_id % 3 = 0 THEN 'invalid_prediction' WHEN doc_id % 7 = 0 THEN 'missing' ELSE 'incorrect' END AS status, n_chars AS output_tokens, (doc_id * 37 % 1000) / 10.0::DOUBLE AS latency_ms, batch
+  SELECT arm, doc_id AS task_id, correct, CASE WHEN correct THEN 'correct' WHEN doc_id % 3 = 0 THEN 'invalid_prediction' WHEN doc_id % 7 = 0 THEN 'timeout' WHEN doc_id % 11 = 0 THEN 'invalid_reference' WHEN doc_id % 13 = 0 THEN 'internal_error' ELSE 'incorrect' END AS status, n_chars AS output_tokens, (doc_id * 37 % 1000) / 10.0::DOUBLE AS latency_ms, batch
   FROM (SELECT doc_id, n_chars, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch, unnest(['base', 'sft']) AS arm, unnest([quality = 1, toxic = 0]) AS correct FROM documents JOIN labels USING (doc_id))
 )"""
 

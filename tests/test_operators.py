@@ -32,6 +32,31 @@ def test_bootstrap_of_one_up_and_one_down(spark):
     assert (r.n, r.delta, r.low, r.high) == (2, 0.0, -1.0, 1.0)
 
 
+def test_bootstrap_interval_is_that_of_other_draws(spark):
+    import numpy as np
+
+    up, down, n = 130, 70, 800
+    pairs = spark.range(n).selectExpr("id AS task_id", f"id >= {up} AND id < {up + down} AS base", f"id < {up} AS sft")
+    r = evaluation.bootstrap(pairs, resamples=4000).first()
+    draws = np.random.default_rng(1).multinomial(n, [up / n, down / n, 1 - (up + down) / n], 4000)
+    low, high = np.quantile((draws[:, 0] - draws[:, 1]) / n, [0.025, 0.975])
+    assert (r.n, r.delta) == (n, 0.075) and abs(r.low - low) < 0.003 and abs(r.high - high) < 0.003
+    assert evaluation.bootstrap(pairs.limit(0)).collect() == []
+
+
+def test_hot_keys_are_split(spark):
+    from lodecraft.operators.skew import hot_limit, join_counted
+
+    left = spark.range(3000).selectExpr("CASE WHEN id < 2000 THEN 7 ELSE id END AS k", "id AS v").unionAll(spark.sql("SELECT CAST(NULL AS LONG), 1L"))
+    right = left.where("k % 2 = 1").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    limit = hot_limit(3000, spark)
+    for how in ("inner", "left"):
+        got = join_counted(left, right, ["k"], F.col("v"), "n", limit, how)
+        want = left.join(right, ["k"], how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.columns == want.columns
+    assert hot_limit(100, spark) is None
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (3, 1), (1, 1)], "a long, b long")
     assert {r.id: r.root for r in graph.components(links).collect()} == {5: 1, 4: 1, 3: 1, 9: 8}
@@ -74,6 +99,24 @@ def test_task_table_round_trip(spark, tmp_path):
         tasks.write_tasks(tasks.flatten(rows), str(tmp_path / "t"))
 
 
+def test_near_pairs_equal_brute_force(spark):
+    import random
+
+    from lodecraft.operators import corpus
+
+    rng = random.Random(4)
+    base = ["".join(rng.choice("abcde ") for _ in range(rng.randint(1, 90))) for _ in range(12)]
+    texts = [*(list(rng.choice(base)) for _ in range(90)), list("ab"), list("ab"), [], list("🙂🙂🙂🙂🙂🙂x")]
+    for t in texts[:90]:
+        for _ in range(rng.choice((0, 0, 1, 3))):
+            t[rng.randrange(len(t))] = rng.choice("abcdeé")
+    data = {i: "".join(t) for i, t in enumerate(texts)}
+    sets = {i: {t[k : k + 5] for k in range(max(1, len(t) - 4))} for i, t in data.items()}
+    want = {(a, b, len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in data for b in data if a < b and 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b])}
+    got = corpus.near_pairs(spark.createDataFrame(list(data.items()), "id long, canonical string")).collect()
+    assert len(want) > 50 and len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_ids(spark):
     df = spark.createDataFrame([("ds", "a b")], "d string, c string").select(text.task_id(F.col("d"), F.col("c")).alias("i"), text.shingles(F.lit("abcdefg")).alias("s"), text.shingles(F.lit("ab")).alias("t"))
     r = df.first()

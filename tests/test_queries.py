@@ -53,7 +53,7 @@ def test_near_pairs_of_the_smallest_tables(spark):
     from lodecraft.operators import corpus
     from lodecraft.plans.corpus import winners
 
-    w = winners(spark, FOLDER)
+    w = winners(spark, FOLDER, ["canonical"])
     pairs = corpus.near_pairs(w.selectExpr("task_id AS id", "canonical")).collect()
     kept = {r.task_id for r in corpus.near_dedup(w).collect()}
     assert pairs and not [p for p in pairs if p.a in kept and p.b in kept]

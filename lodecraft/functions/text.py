@@ -12,16 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 #: What str.split() takes as white space, as a Java pattern.
-_ODD = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WHITE = rf"[ {_ODD}]+"
-#: White space other than a single blank: what ``collapse`` has to change.
-_RUN = rf"[{_ODD}][ {_ODD}]*| [ {_ODD}]+"
+WHITE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: The same but for the blank, one by one.
+_ODD = "".join(map(chr, [*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 SHINGLE = 5
 
 
 def collapse(text: Column) -> Column:
-    """White space of any kind to single blanks, trimmed."""
-    return F.trim(F.regexp_replace(text, _RUN, " "))
+    """White space of any kind to single blanks, trimmed. Only texts with a run of it meet a pattern."""
+    flat = F.translate(text, _ODD, " " * len(_ODD))
+    return F.trim(F.when(F.contains(flat, F.lit("  ")), F.regexp_replace(flat, " {2,}", " ")).otherwise(flat))
 
 
 @F.pandas_udf(StringType())
@@ -30,13 +30,17 @@ def _nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+#: Not to be pushed down with a filter and so evaluated twice.
+_nfkc = _nfkc.asNondeterministic()
+
+
 def canonical_text(text: Column) -> Column:
     """NFKC, white space collapsed, trimmed.
 
     ASCII and the Latin-1 letters are their own normal form. Only other texts are handed to Python: the rest cross as
     null, because Spark evaluates a UDF for every row whatever ``when`` says.
     """
-    odd = text.rlike(r"[^\x00-\x7f\xc0-\xff]")
+    odd = (F.octet_length(text) != F.length(text)) & text.rlike(r"[^\x00-\x7f\xc0-\xff]")
     return collapse(F.when(odd, _nfkc(F.when(odd, text))).otherwise(text))
 
 

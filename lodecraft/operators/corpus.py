@@ -102,6 +102,8 @@ def assign_splits(winners: DataFrame, seed: int = 7) -> DataFrame:
 
 #: Counters of shingles: a table of 8 MB that every task reads.
 COUNTERS = 1 << 20
+#: Near-duplicates of n shingles must share 1 + n div SHARE of their rarest ones.
+SHARE = 16
 
 
 def _hashed(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -112,7 +114,7 @@ def _hashed(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa
 
 
 def _prefixes(texts: DataFrame, threshold: float) -> DataFrame:
-    """(g, id, n, p): the rarest shingles of each text that a near-duplicate must share one of, with their place in the order."""
+    """(g, id, n): the rarest shingles of each text, of which a near-duplicate must share 1 + n div ``SHARE``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
@@ -130,32 +132,37 @@ def _prefixes(texts: DataFrame, threshold: float) -> DataFrame:
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
         for part, sets in _hashed(batches, 1):
-            sizes = [len(x) - int(np.ceil(len(x) * threshold - 1e-9)) + 1 for x in sets]
+            sizes = [min(len(x), len(x) - int(np.ceil(len(x) * threshold - 1e-9)) + 1 + len(x) // SHARE) for x in sets]
             firsts = [x[np.lexsort((x, rarity[x % np.uint64(COUNTERS)]))[:k]] for x, k in zip(sets, sizes)]
             of = np.repeat(np.arange(len(part)), sizes)
-            place = np.concatenate([np.arange(k) for k in sizes]) if sizes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), part.column(0).take(pa.array(of)), pa.array(np.array([len(x) for x in sets])[of]), pa.array(place)], ["g", "id", "n", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), part.column(0).take(pa.array(of)), pa.array(np.array([len(x) for x in sets])[of])], ["g", "id", "n"])
 
     kind = dict(texts.dtypes)["id"]
-    return texts.select("id", "canonical").mapInArrow(prefix, f"g long, id {kind}, n long, p long")
+    return texts.select("id", "canonical").mapInArrow(prefix, f"g long, id {kind}, n long")
 
 
 def near_pairs(texts: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(a, b, common, total) of all pairs a < b of (id, canonical) whose 5-character shingle sets have Jaccard >= threshold.
 
-    Exact, by prefix filtering: shingles, as 64-bit hashes, are ordered from rare to common; two sets that similar share one among the
-    first ``size - ceil(threshold * size) + 1`` of each. Any total order is right, so rarity is counted in a fixed number of
-    counters by hash; shingles, many times the text, stay in their task but for the prefixes. Candidates must be close in size, and have
-    enough left after the shared shingle; then whole sets are compared.
+    Exact, by prefix filtering: shingles, as 64-bit hashes, are ordered from rare to common. Of the shingles that two sets share, all but the first
+    k come after the k-th; so if they share ``threshold`` of the larger set, the first k are among the first
+    ``size - ceil(threshold * size) + k`` of each. Any total order is right, so rarity is counted in a fixed number of
+    counters by hash; shingles, many times the text, stay in their task but for these prefixes. Candidates are close in size and share k there; then
+    whole sets are compared.
     """
     spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = materialise(texts.select("id", "canonical").repartition(parts, "id"), "texts")
     prefix = materialise(_prefixes(texts, threshold), "prefix")
-    x, y = prefix.select("g", F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa")), prefix.select("g", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
-    least = F.ceil((F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-6)
-    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold)) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb") >= least)
-    pairs = materialise(x.join(y, "g").where(close).select("a", "b").distinct(), "candidates")
+    width = float(np.log(1 / threshold)) * (1 + 1e-9)
+    band = F.floor(F.log("n") / F.lit(width))  # sizes that may match lie in one band or in two neighbours
+    x = prefix.select("g", F.explode(F.array(band, band + 1)).alias("k"), F.col("id").alias("i"), F.col("n").alias("ni"))
+    y = prefix.select("g", band.alias("k"), F.col("id").alias("j"), F.col("n").alias("nj"))
+    smaller = (F.col("ni") < F.col("nj")) | (F.col("ni") == F.col("nj")) & (F.col("i") < F.col("j"))
+    met = x.join(y, ["g", "k"]).where(smaller & (F.col("ni") >= F.col("nj") * F.lit(threshold))).groupBy("i", "j", "ni", "nj").agg(F.count(F.lit(1)).alias("c"))
+    overlap = F.ceil((F.col("ni") + F.col("nj")) * F.lit(threshold / (1 + threshold)) - 1e-6)
+    enough = F.col("c") >= F.least(1 + F.floor(F.col("ni") / SHARE), overlap)
+    pairs = materialise(met.where(enough).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")), "candidates")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from html import unescape
 
@@ -14,7 +16,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>?", re.I) for x in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
-HIDDEN = frozenset("head title script style template noscript meta link base iframe noembed noframes object audio video canvas svg math datalist".split())
+HIDDEN = frozenset("head title script style template noscript meta link base iframe noembed noframes audio video canvas datalist desc metadata defs symbol annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp caption".split())
 #: Start tags that stay in an open head; any other, and text, ends it.
 IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
@@ -33,8 +35,12 @@ CLOSES = {
     "body": (frozenset(("head",)), frozenset()),
 }
 _BARRIERS = frozenset("table td th caption html body button object template".split())
-#: Elements nested deeper become children of the last one that is not; their text stays.
-MAX_DEPTH = 200
+#: Elements nested deeper are not built: their text goes to the last one that is, unless one of them is hidden.
+MAX_DEPTH = 2000
+# How far cells may span, as in the HTML standard.
+MAX_COLUMNS, MAX_ROWS = 1000, 65534
+_NOT_SHOWN = re.compile(r"(?<![\w-])(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.I)
+_VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(\w+)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -81,19 +87,30 @@ def parse(html: str) -> Node:
     """The tree. Missing end tags are implied; end tags that close nothing are dropped (``</p>`` and ``</br>`` too)."""
     root = Node("#root")
     stack, at, n = [root], 0, len(html)
+    over: list[tuple[str, bool]] = []  # open elements under the deepest that is built: tag, and whether it hides its text
+    silent = 0  # how many of them do
+    foreign = 0  # where the open svg or math element is in the stack, else 0
     while at < n:
         m = TOKEN.search(html, at)
         if not m:
-            _say(stack, html[at:])
+            if not silent:
+                _say(stack, html[at:])
             break
-        if m.start() > at:
+        if m.start() > at and not silent:
             _say(stack, html[at : m.start()])
         at = m.end()
         if m[2] is None:
-            if m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA[") and not silent:
                 _say(stack, m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
         tag = m[2].lower()
+        if m[1] and over:
+            for i in range(len(over) - 1, -1, -1):
+                if over[i][0] == tag:
+                    silent -= sum(hides for _, hides in over[i:])
+                    del over[i:]
+                    break
+            continue
         if m[1]:
             barrier = _BARRIERS - {tag}
             for i in range(len(stack) - 1, 0, -1):
@@ -103,12 +120,21 @@ def parse(html: str) -> Node:
                 if stack[i].tag in barrier and tag not in ("table", "body", "html", "tr", "tbody", "thead", "tfoot"):
                     break
             continue
+        if over:
+            if tag in RAW:
+                end = RAW[tag].search(html, at)
+                at = end.end() if end else n
+            elif tag not in VOID:
+                over.append((tag, not visible(Node(tag, m[3]))))
+                silent += over[-1][1]
+            continue
         if tag in CLOSES:
             _close(stack, *CLOSES[tag])
         if tag in _P_CLOSERS:
             _close(stack, frozenset(("p",)), _BARRIERS)
         if tag not in IN_HEAD:
             _leave_head(stack)
+        foreign = foreign if 0 < foreign < len(stack) else 0
         parent = stack[-1]
         if tag in ("td", "th") and parent.tag in ("table", "tbody", "thead", "tfoot"):
             parent.children.append(row := Node("tr"))
@@ -116,12 +142,19 @@ def parse(html: str) -> Node:
             parent = row
         node = Node(tag, m[3])
         parent.children.append(node)
-        if tag in RAW:
+        if tag in RAW and not (foreign and m[3].rstrip().endswith("/")):
             end = RAW[tag].search(html, at)
             node.children.append(html[at : end.start() if end else n])
             at = end.end() if end else n
-        elif tag not in VOID and not m[3].rstrip().endswith("/") and len(stack) < MAX_DEPTH:
-            stack.append(node)
+        elif tag not in VOID and not ((foreign or tag in ("svg", "math")) and m[3].rstrip().endswith("/")):  # a slash ends only foreign elements
+            if len(stack) < MAX_DEPTH:
+                if tag in ("svg", "math") and not foreign:
+                    foreign = len(stack)
+                stack.append(node)
+            else:
+                parent.children.pop()
+                over.append((tag, not visible(node)))
+                silent += over[-1][1]
     return root
 
 
@@ -135,7 +168,20 @@ def visible(node: Node) -> bool:
     if node.tag == "dialog" and node.get("open") is None:
         return False
     style = node.get("style")
-    return not (style and re.search(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|content-visibility\s*:\s*hidden)", style, re.I))
+    return not (style and _NOT_SHOWN.search(style))
+
+
+def _shown(node: Node, inherited: bool) -> bool:
+    """Whether the element's own text shows: ``visibility`` is inherited, and may be given back to a descendant."""
+    found = _VISIBILITY.search(node.get("style") or "") if node.attributes else None
+    return inherited if found is None or found[1].lower() not in ("visible", "hidden", "collapse") else found[1].lower() == "visible"
+
+
+def _width(text: str) -> int:
+    """Columns that a text takes: two for wide characters, none for combining ones."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
 class _Page:
@@ -203,100 +249,136 @@ class _Page:
         return self.lines
 
 
-def _flow(node: Node, page: _Page, keep: bool, depth: int) -> None:
-    number, count = None, 0
-    if node.tag == "ol":
-        start = node.get("start") or ""
-        number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
+def _number(text: str | None, default: int) -> int:
+    return int(text) if text and re.fullmatch(r"\s*[+-]?\d{1,9}\s*", text) else default
+
+
+def _flow(node: Node, page: _Page, keep: bool, shown: bool = True) -> None:
+    count = _number(node.get("start"), 1) if node.tag == "ol" else None
     closed = node.tag == "details" and node.get("open") is None
     for child in node.children:
         if isinstance(child, str):
-            if not closed and node.tag not in ("table", "tbody", "thead", "tfoot", "tr"):
+            if shown and not closed:
                 page.text(child, keep)
             continue
         tag = child.tag
         if not visible(child) or closed and tag != "summary":
             continue
+        inside = _shown(child, shown)
         if tag == "br":
             page.newline()
         elif tag == "hr":
             page.edge(1)
         elif tag == "table":
             page.edge(2)
-            page.block(_table(child, keep, depth + 1))
+            page.block(_table(child, keep, inside))
             page.edge(2)
         elif tag == "li":
             page.edge(1)
-            mark = f"{number + count}. " if number is not None else "- "
-            count += 1
+            count = _number(child.get("value"), count) if count is not None else None
+            mark = f"{count}. " if count is not None else "- "
+            count = count + 1 if count is not None else None
             inner = _Page()
-            _flow(child, inner, keep, depth + 1)
+            _flow(child, inner, keep, inside)
             lines = inner.done() or [""]
-            pad = " " * len(mark)
-            page.block([(mark if k == 0 else pad if line else "") + line for k, line in enumerate(lines)])
-            page.edge(1)
-        elif tag in ("td", "th", "tr"):
-            page.edge(1)
-            _flow(child, page, keep, depth + 1)
+            if inside or any(lines):
+                pad = " " * len(mark)
+                page.block([(mark if k == 0 else pad if line else "") + line for k, line in enumerate(lines)])
             page.edge(1)
         elif tag in BLOCK:
             margin = 2 if tag in SPACED and not (tag in LISTS and node.tag == "li") else 1
             page.edge(margin)
-            _flow(child, page, keep or tag in ("pre", "xmp"), depth + 1)
+            _flow(child, page, keep or tag in ("pre", "xmp"), inside)
             page.edge(margin)
         else:
-            _flow(child, page, keep or tag == "textarea", depth + 1)
+            _flow(child, page, keep or tag == "textarea", inside)
 
 
-def _rows(node: Node) -> Iterator[Node]:
-    for child in node.children:
-        if isinstance(child, Node) and visible(child):
-            if child.tag == "tr":
-                yield child
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(child)
+_SECTIONS = frozenset(("thead", "tbody", "tfoot"))
 
 
-def _table(node: Node, keep: bool, depth: int) -> list[str]:
-    """Captions and stray content first, then rows whose cells are padded to their columns' widths and parted by `` | ``."""
-    before = _Page()
+def _has_row(node: Node) -> bool:
+    todo = [node]
+    while todo:
+        for child in todo.pop().children:
+            if isinstance(child, Node) and child.tag != "table":
+                if child.tag == "tr":
+                    return True
+                todo.append(child)
+    return False
+
+
+def _parts(node: Node, shown: bool) -> Iterator[tuple[Node | str, bool]]:
+    """The rows of a table, and what else is in it, each with whether it shows. Sections, and elements that wrap rows, are looked into."""
     for child in node.children:
         if isinstance(child, str):
-            before.text(child, keep)
-        elif visible(child) and child.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup", "col"):
+            yield child, shown
+        elif visible(child) and child.tag not in ("colgroup", "col"):
+            inside = _shown(child, shown)
+            if child.tag in _SECTIONS or child.tag not in ("tr", "table", "caption") and _has_row(child):
+                yield from _parts(child, inside)
+            else:
+                yield child, inside
+
+
+def _cells(row: Node, keep: bool, shown: bool) -> Iterator[tuple[list[str], int, int]]:
+    """(lines, columns, rows) of each cell; text and elements that are no cells are cells of one column."""
+    for cell in row.children:
+        page = _Page()
+        if isinstance(cell, str):
+            if shown:
+                page.text(cell, keep)
+            if lines := page.done():
+                yield lines, 1, 1
+        elif visible(cell):
+            _flow(Node("#cell") if cell.tag == "br" else cell, page, keep, _shown(cell, shown))
+            yield page.done(), min(max(_number(cell.get("colspan"), 1), 1), MAX_COLUMNS), min(max(_number(cell.get("rowspan"), 1), 1), MAX_ROWS)
+
+
+def _table(node: Node, keep: bool, shown: bool) -> list[str]:
+    """Captions and stray content first, then rows whose cells are padded to their columns' widths and parted by `` | ``.
+
+    A cell stands in the first column that no cell from above reaches into; its text is in its first row and column.
+    """
+    before, grid = _Page(), []
+    reach: dict[int, int] = {}  # column -> rows that a cell from above still takes
+    for part, seen in _parts(node, shown):
+        if isinstance(part, str):
+            if seen:
+                before.text(part, keep)
+        elif part.tag != "tr":
             before.edge(1)
-            _flow(child, before, keep, depth + 1)
+            holder = Node("#part")
+            holder.children.append(part)
+            _flow(holder, before, keep, seen)
             before.edge(1)
+        else:
+            cells: dict[int, list[str]] = {k: [] for k in reach}
+            taken, column = {k: n - 1 for k, n in reach.items() if n > 1}, 0
+            for lines, across, down in _cells(part, keep, seen):
+                while column in reach:
+                    column += 1
+                for k in range(column, column + across):
+                    cells[k] = lines if k == column else []
+                    if down > 1:
+                        taken[k] = down - 1
+                column += across
+            reach = taken
+            grid.append([cells.get(k, []) for k in range(max(cells, default=-1) + 1)])
     out = before.done()
-    grid: list[list[list[str]]] = []
-    for row in _rows(node):
-        cells: list[list[str]] = []
-        for cell in row.children:
-            page = _Page()
-            if isinstance(cell, str):
-                page.text(cell, keep)
-                if lines := page.done():
-                    cells.append(lines)
-                continue
-            if not visible(cell):
-                continue
-            _flow(cell, page, keep, depth + 1)
-            span = cell.get("colspan") or "1"
-            cells.append(page.done())
-            cells.extend([[]] * (min(int(span), 100) - 1 if span.isdigit() and int(span) > 1 else 0))
-        grid.append(cells)
     widths: list[int] = []
     for cells in grid:
         for k, lines in enumerate(cells):
-            width = max(map(len, lines), default=0)
+            width = max(map(_width, lines), default=0)
             if k == len(widths):
                 widths.append(width)
             else:
                 widths[k] = max(widths[k], width)
     for cells in grid:
         for k in range(max((len(lines) for lines in cells), default=0)):
-            line = " | ".join((lines[k] if k < len(lines) else "").ljust(widths[i]) for i, lines in enumerate(cells))
-            out.append(line.rstrip(" ") if len(cells) < 2 else line.rstrip())
+            texts = [lines[k] if k < len(lines) else "" for lines in cells]
+            line = " | ".join(x + " " * (widths[i] - _width(x)) for i, x in enumerate(texts))
+            out.append(line.rstrip())
     return out
 
 
@@ -316,7 +398,9 @@ def render(html: str | None) -> tuple[str | None, str | None]:
         return None, None
     root = parse(html)
     page = _Page()
-    _flow(root, page, False, 0)
+    if sys.getrecursionlimit() < 8 * MAX_DEPTH:
+        sys.setrecursionlimit(8 * MAX_DEPTH)
+    _flow(root, page, False)
     lines = page.done()
     while lines and not lines[-1]:
         lines.pop()
@@ -327,12 +411,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     """(page_id, title, text, n_chars) of every row: the visible text of the whole page, in one narrow pass.
 
     Start and end tags that HTML lets authors leave out are implied. Head, scripts, styles, templates, ``hidden`` elements,
-    closed details and dialogs and elements styled ``display:none`` or ``visibility:hidden`` are not visible.
+    closed details and dialogs and elements styled ``display:none`` are not visible, nor is text styled ``visibility:hidden``
+    unless a descendant is made visible again. Text of svg, math and object elements is. Only inline styles are read.
     Blocks begin lines; paragraphs, headings, lists and tables have a blank line around them; list items are
-    marked and indented; cells are aligned in columns. White space is collapsed except in ``pre`` and ``textarea``.
+    marked and indented; cells are aligned in columns, spans counted and wide characters as two. What stands in a table outside its rows comes before them. White space is collapsed except in ``pre`` and ``textarea``.
 
     Null html: null text and title. Empty html: empty text. Text without any tag is itself. Pages are rendered one by one, so memory
-    is bounded by the longest page. Repeated rows are rendered each; ids may be null. No rows: no rows.
+    is bounded by the longest page, of any length. Repeated rows are rendered each; ids may be null. Other columns, whatever their names, are
+    ignored. No rows: no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

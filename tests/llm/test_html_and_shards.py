@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -43,6 +44,76 @@ def test_head_ends_where_content_begins(html, text):
     assert html_text.render(html) == ("T" if "<title>" in html else None, text)
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table><tbody>loose<div>box</div><tr><td>a<td>b</table>", "loose\nbox\na | b"),
+        ("<table><tbody><form><tr><td>a<td>b<tr><td>c<td>d</form></table>", "a | b\nc | d"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+        ("<table><tr><td colspan=2>a<td>b<tr><td>c<td>d<td>e</table>", "a |   | b\nc | d | e"),
+        ("<table><tr><td>漢字<td>x<tr><td>abcd<td>y<tr><td>ab<td>z</table>", "漢字 | x\nabcd | y\nab   | z"),
+        ("<tr>stray<td>cell</tr>", "stray\ncell"),
+        ("<svg><title>no</title><desc>no</desc><text x=1 y=2>in svg</text><path d=z /></svg> <math><mi>x</mi><annotation>no</annotation></math> <object data=f>instead</object>", "in svg x instead"),
+        ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"),
+        ("<div hidden/>x</div>y", "y"),
+        ("<p hidden><a href=x/>gone</a></p>y", "y"),
+        ("<div style='visibility: hidden'>no <b style='visibility:visible'>yes</b> no</div>z", "yes\nz"),
+        ("<div style='content-visibility: hidden'>no</div><div style='backface-visibility: hidden'>yes</div>", "yes"),
+        ("<div hidden>" + "<div>" * 2500 + "a" + "</div>" * 2300 + "b" + "</div>" * 201 + "c", "c"),
+        ("<div>" * 2500 + "<p hidden>a<b>b</b></p><script>c</script>d" + "</div>" * 2500 + "<p>e", "d\n\ne"),
+        ("<ul>" + "<li>x<ul>" * 300, "\n".join("  " * k + "- x" for k in range(300))),
+    ],
+)
+def test_what_browsers_show(html, text):
+    assert html_text.render(html)[1] == text
+
+
+def test_words_of_whole_pages_are_those_of_another_parser(spark):
+    """The standard library's event parser, which knows no trees, finds the same words on the test pages."""
+    from collections import Counter
+    from html.parser import HTMLParser
+    from pathlib import Path
+
+    folder = Path("/root/testdata/sf0.01/pages.parquet")
+    if not folder.exists():
+        pytest.skip("no test tables")
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.open, self.said, self.hides = [], [], 0
+
+        def handle_starttag(self, tag, attributes):
+            if tag in html_text.VOID:
+                self.said.append(" ")
+                return
+            a = dict(attributes)
+            hides = tag in html_text.HIDDEN or "hidden" in a or (tag == "dialog" and "open" not in a) or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style") or ""))
+            self.open.append((tag, hides))
+            self.said.append(" " if tag in html_text.BLOCK else "")
+
+        def handle_endtag(self, tag):
+            tags = [t for t, _ in self.open]
+            if tag in tags:
+                del self.open[len(tags) - 1 - tags[::-1].index(tag) :]
+            self.said.append(" " if tag in html_text.BLOCK else "")
+
+        def handle_data(self, data):
+            if not any(h for _, h in self.open):
+                self.said.append(data)
+
+    same = total = 0
+    for r in spark.read.parquet(str(folder)).select("html").collect():
+        parser = Words()
+        parser.feed(r.html or "")
+        parser.close()
+        mine = re.sub(r"(?m)^ *(?:- |\d+\. )+|\|", " ", html_text.render(r.html)[1] or "")
+        clean = lambda t: Counter(re.findall(r"[^\W\d_]+", t))
+        total += 1
+        same += clean(mine) == clean("".join(parser.said))
+    assert total > 100 and same >= 0.98 * total, (same, total)
+
+
 def test_extract_cases(spark):
     rows = [(1, "<title>A &amp; B</title>x", 5), (1, "<title>A &amp; B</title>x", 5), (None, None, 6), (2, "", 7), (3, "w <b>" * 20000, 8)]
     pages = spark.createDataFrame(rows, "page_id long, html string, text long")

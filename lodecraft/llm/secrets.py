@@ -7,8 +7,10 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import merge
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +24,16 @@ TREES, DEPTH, THRESHOLD = 40, 9, 0.5
 NEAR = 48
 KEYWORDS = ("token", "secret", "passw", "pwd", "api_key", "api-key", "apikey", "access_key", "access-key", "auth", "credential")
 _NAME = r"(?:[A-Za-z0-9_.-]*(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth(?:orization)?|credentials?)[A-Za-z0-9_.-]*)"
-#: (kind, a part of any text that it can be in, pattern with the secret in group 1). Secrets go to the end of their run, whatever its length;
+#: (kind, parts of which a text that holds one has some, pattern with the secret in group 1). Secrets go to the end of their run, whatever its length;
 #: a match without group 1 only skips a run in which no later start can match, so that texts are read in linear time.
 PATTERNS = (
-    ("private_key", "PRIVATE KEY", re.compile(r"(-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]++|-(?!----(?:BEGIN|END) ))++-----END [A-Z ]*PRIVATE KEY-----)")),
-    ("access_id", "A", re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{12,16})(?![A-Za-z0-9])")),
-    ("prefixed", "_", re.compile(r"(?<![A-Za-z0-9])((?:gh[pousr]|glpat|sk_live|sk_test|rk_live|xox[baprs])[_-][A-Za-z0-9_-]{10,})")),
-    ("web_token", "eyJ", re.compile(r"(?<![A-Za-z0-9])(?:(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*+)|eyJ[A-Za-z0-9_-]*+)")),
-    ("assigned", None, re.compile(rf"(?i){_NAME}[\"']?[ \t]{{0,3}}(?:=>|:=|[=:])[ \t]{{0,3}}[\"']?([^\s\"',;<>(){{}}]{{6,}})")),
-    ("long_run", None, re.compile(r"(?<![A-Za-z0-9+/_=-])((?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{24,}+)")),
+    ("private_key", ("PRIVATE KEY",), re.compile(r"(-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:[^-]++|-(?!----(?:BEGIN|END) ))++-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----)")),
+    ("access_id", ("AKIA", "ASIA", "AGPA", "AIDA", "AROA"), re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{12,16})(?![A-Za-z0-9])")),
+    ("prefixed", ("gh", "glpat", "k_live", "k_test", "xox", "npm_", "pypi-", "hf_", "dop_v1_", "shp", "sk-", "SG.", "AIza"), re.compile(r"(?<![A-Za-z0-9])((?:gh[pousr][_-]|github_pat_|glpat[_-]|[rs]k_(?:live|test)_|xox[abeoprs]-|npm_|pypi-|hf_|dop_v1_|shp(?:at|ca|pa|ss)_|sk-|SG\.|AIza)[A-Za-z0-9_-]{10,}+(?:\.[A-Za-z0-9_-]{10,}+)*+)")),
+    ("web_token", ("eyJ",), re.compile(r"(?<![A-Za-z0-9])(?:(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*+)|eyJ[A-Za-z0-9_-]*+)")),
+    ("url_password", ("://",), re.compile(r"://[^\s/:@\"'<>]*+:([^\s/@\"'<>]{3,}+)@")),
+    ("assigned", (), re.compile(rf"(?i){_NAME}[\"']?[ \t]{{0,3}}(?:=>|:=|[=:])[ \t]{{0,3}}[\"']?([^\s\"',;<>(){{}}]{{6,}})")),
+    ("long_run", (), re.compile(r"(?<![A-Za-z0-9+/_=-])((?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{24,}+)")),
 )
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{24}")
 _HINT = re.compile(r"(?i)secret|token|passw|pwd|key|auth|credential|private")
@@ -41,9 +44,8 @@ FEATURES = ("length", "digits", "uppers", "distinct", "entropy", "hex", "transit
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what may be a secret; they do not overlap, earlier kinds of ``PATTERNS`` going first."""
-    low = None
-    found: list[tuple[int, int, str]] = []
-    for kind, part, pattern in PATTERNS:
+    found: list[tuple[int, int, str]] = []  # by start; what is in it does not overlap, so a candidate can only meet its two neighbours
+    for kind, parts, pattern in PATTERNS:
         if kind == "assigned":
             low = text.lower()
             if not any(k in low for k in KEYWORDS):
@@ -51,17 +53,20 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         elif kind == "long_run":
             if not _RUN.search(text):
                 continue
-        elif part not in text:
+        elif not any(x in text for x in parts):
             continue
+        new = []
         for m in pattern.finditer(text):
             a, b = m.span(1)
             if a < 0:
                 continue
             while b > a + 1 and text[b - 1] in ".!?":
                 b -= 1
-            if all(b <= x or a >= y for x, y, _ in found):
-                found.append((a, b, kind))
-    return sorted(found)
+            k = bisect_left(found, (a,))
+            if (k == 0 or found[k - 1][1] <= a) and (k == len(found) or found[k][0] >= b):
+                new.append((a, b, kind))
+        found = list(merge(found, new))
+    return found
 
 
 @lru_cache(2)
@@ -79,7 +84,7 @@ def dictionary(path: str | None) -> frozenset[str]:
 def _coverage(value: str, words: frozenset[str]) -> float:
     """The share of characters inside dictionary words, longest first at each place."""
     low, at, covered = value.lower(), 0, 0
-    n = min(len(low), 400)
+    n = len(low)
     while at < n:
         for size in range(min(14, n - at), 3, -1):
             if low[at : at + size] in words:
@@ -220,15 +225,17 @@ def labelled_findings(n: int, seed: int, words: frozenset[str]) -> list[tuple[st
         quote = rng.choice(('"', "'", "", ""))
         joint = rng.choice(("=", " = ", ": ", ":"))
         if i % 2 == 0:
-            form = rng.randrange(6)
-            value = (lambda: rng.choice(("AKIA", "ASIA")) + pick(upper, 16), lambda: pick(hexa, rng.choice((16, 18, 24, 32, 40, 64))), lambda: pick(base, rng.randint(20, 64)), lambda: pick(string.ascii_letters + string.digits + "!@#$%^&*", rng.randint(8, 20)), lambda: rng.choice(("ghp_", "sk_live_", "xoxb-", "glpat-")) + pick(base[:62], rng.randint(20, 40)), lambda: f"eyJ{pick(base[:62], 17)}.{pick(base[:62], 40)}.{pick(base[:62], 43)}")[form]()
-            kind = ("access_id", "assigned", "assigned", "assigned", "prefixed", "web_token")[form]
-            before = prose() + (rng.choice(secret_names) + joint + quote if kind == "assigned" else rng.choice(("", "key ", "", rng.choice(secret_names) + joint + quote)))
+            form = rng.randrange(8)
+            value = (lambda: rng.choice(("AKIA", "ASIA")) + pick(upper, 16), lambda: pick(hexa, rng.choice((16, 18, 24, 32, 40, 64))), lambda: pick(base, rng.randint(20, 64)), lambda: pick(string.ascii_letters + string.digits + "!@#$%^&*", rng.randint(8, 20)), lambda: rng.choice(("ghp_", "sk_live_", "xoxb-", "glpat-", "npm_", "hf_", "sk-", "AIza", "SG.")) + pick(base[:62], rng.randint(20, 40)), lambda: f"eyJ{pick(base[:62], 17)}.{pick(base[:62], 40)}.{pick(base[:62], 43)}", lambda: pick(base[:62] + "!#$%*", rng.randint(8, 24)), lambda: rng.choice((word() + str(rng.randint(10, 9999)) + rng.choice("!#$*"), word().title() + pick(base[:62], 6), word() + rng.choice("-_.") + word() + str(rng.randint(10, 9999)))))[form]()
+            kind = ("access_id", "assigned", "assigned", "assigned", "prefixed", "web_token", "url_password", rng.choice(("url_password", "assigned")))[form]
+            before = prose() + (f"{rng.choice(('postgres', 'https', 'mysql', 'redis'))}://{word()}:" if kind == "url_password" else rng.choice(secret_names) + joint + quote if kind == "assigned" else rng.choice(("", "key ", "", rng.choice(secret_names) + joint + quote)))
             out.append((before, value, quote + " " + prose(), rng.choice(paths if rng.random() < 0.9 else test_paths), kind, True))
         else:
-            form = rng.randrange(7)
-            value = (lambda: rng.choice(("changeme", "your_token_here", "xxxxxxxxxxxx", "password123", "example-key", "<insert>", "********", "placeholder", "undefined", "required", "optional")), lambda: "_".join(word() for _ in range(rng.randint(2, 5))), lambda: pick(hexa, rng.choice((32, 40, 64))), lambda: f"{pick(hexa, 8)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 12)}", lambda: "".join(word().title() for _ in range(rng.randint(3, 6))) + str(rng.randint(1, 99)), lambda: "/".join(word() for _ in range(rng.randint(3, 6))) + f"/{rng.randint(1, 9999)}", lambda: rng.choice("AaxX0") * rng.randint(8, 30) if rng.random() < 0.5 else word() + "." + word())[form]()
-            if form in (0, 1, 6):
+            form = rng.randrange(8)
+            value = (lambda: rng.choice(("changeme", "your_token_here", "xxxxxxxxxxxx", "password123", "example-key", "<insert>", "********", "placeholder", "undefined", "required", "optional")), lambda: "_".join(word() for _ in range(rng.randint(2, 5))), lambda: pick(hexa, rng.choice((32, 40, 64))), lambda: f"{pick(hexa, 8)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 12)}", lambda: "".join(word().title() for _ in range(rng.randint(3, 6))) + str(rng.randint(1, 99)), lambda: "/".join(word() for _ in range(rng.randint(3, 6))) + f"/{rng.randint(1, 9999)}", lambda: rng.choice("AaxX0") * rng.randint(8, 30) if rng.random() < 0.5 else word() + "." + word(), lambda: rng.choice(("password", "pass", "PASSWORD", "secret", "xxxx", "example", "user", "changeme", "your-password", "********", "${PASSWORD}", "%s")))[form]()
+            if form == 7:
+                kind, before = "url_password", prose() + f"{rng.choice(('postgres', 'https', 'mysql', 'redis'))}://{rng.choice(('user', 'username', 'me', word()))}:"
+            elif form in (0, 1, 6):
                 kind, before = "assigned", prose() + rng.choice(secret_names) + joint + quote
             else:
                 kind, before = "long_run", prose() + (rng.choice(other_names) + rng.choice((" ", ": ", "=")) if form in (2, 3) else "")
@@ -257,7 +264,7 @@ def scan(docs: DataFrame, model: Model | None = None, threshold: float = THRESHO
 
     Spans count characters. The forest's score is the share of trees' votes for a secret; ``is_secret`` from ``threshold`` on.
     The value itself is not returned. Null and empty texts have no candidates; a null path is an empty one. Repeated rows are scanned
-    each; ids may be null. Texts are scanned one at a time, whole. No rows: no rows.
+    each; ids may be null. Texts of any length are scanned one at a time, whole, in linear time. Other columns, whatever their names, are ignored. No rows: no rows.
     """
     model = model or trained()
 
@@ -278,7 +285,11 @@ def scan(docs: DataFrame, model: Model | None = None, threshold: float = THRESHO
 
 
 def redact(docs: DataFrame, model: Model | None = None, threshold: float = THRESHOLD, text_col: str = "text", path_col: str = "source", size_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with each secret replaced by ``[kind]``; all rows stay. ``size_col`` follows the text where it changed."""
+    """``docs`` with each secret replaced, whole, by ``[kind]``; all rows stay. ``size_col`` follows the text where it changed.
+
+    Null and empty texts stay as they are; a null path is an empty one; repeated rows are treated alike. Columns may have any names and types, and
+    keep them. Texts of any length are handled one by one. No rows: no rows.
+    """
     model = model or trained()
     names = docs.columns
     text_at, path_at = names.index(text_col), names.index(path_col)

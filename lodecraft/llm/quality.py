@@ -24,8 +24,8 @@ class Bands:
     """Limits on compressed bytes / bytes: ``whole`` by text length (up to so many bytes, low, high), and ``chunk`` (low, high).
 
     Short texts compress badly because the frame and first occurrences weigh more, so their band lies higher. A text is
-    repetitive below its band and incompressible above it; so is one of which over ``share`` of the full
-    chunks of ``chunk_bytes`` lie outside the chunk band.
+    repetitive below its band and incompressible above it; so is one of which over ``share`` of the bytes lie in
+    chunks of ``chunk_bytes`` outside the chunk band. The last chunk, which may be shorter, has the band of a text of its length.
     """
 
     whole: tuple[tuple[float, float, float], ...] = ((256, 0.45, 1.10), (1024, 0.35, 0.88), (4096, 0.28, 0.78), (16384, 0.22, 0.70), (float("inf"), 0.18, 0.70))
@@ -79,13 +79,16 @@ def _block_rows(block: Block, bands: Bands, squeeze) -> Iterator[tuple]:
         lo, hi = int(block.offsets[i]), int(block.offsets[i + 1])
         text, size, n = view[lo:hi], hi - lo, b - a
         repeat = _covered(words[a:b])
-        low, high = 0.0, 0.0
         ratio = squeeze(text) / size if size else 0.0
-        outside = full = 0
-        if size >= 2 * bands.chunk_bytes:
-            parts = [squeeze(text[at : at + bands.chunk_bytes]) / bands.chunk_bytes for at in range(0, size - bands.chunk_bytes + 1, bands.chunk_bytes)]
-            low, high, full = min(parts), max(parts), len(parts)
-            outside = sum(not bands.chunk[0] <= x <= bands.chunk[1] for x in parts)
+        low = high = ratio
+        outside = 0
+        if size >= bands.chunk_bytes:
+            parts = [text[at : at + bands.chunk_bytes] for at in range(0, size, bands.chunk_bytes)]
+            ratios = [squeeze(x) / len(x) for x in parts]
+            low, high = min(ratios), max(ratios)
+            for x, r in zip(parts, ratios):
+                least, most = bands.chunk if len(x) == bands.chunk_bytes else bands.limits(len(x))
+                outside += 0 if least <= r <= most else len(x)
         base_failed = n < bands.min_words or 100 * repeat > bands.max_repeat_per_cent * n
         least, most = bands.limits(size)
         if base_failed:
@@ -94,7 +97,7 @@ def _block_rows(block: Block, bands: Bands, squeeze) -> Iterator[tuple]:
             verdict = "repetitive"
         elif ratio > most:
             verdict = "incompressible"
-        elif outside > bands.share * full:
+        elif outside > bands.share * size:
             verdict = "chunks"
         else:
             verdict = "keep"
@@ -106,10 +109,11 @@ def measure(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", tex
 
     Words are runs of characters other than space and TAB..CR. ``n_repeat_words``: words in 8-word windows that are
     in the text twice or more; windows are compared by 64-bit hashes. ``ratio``: zstandard bytes over bytes;
-    ``chunk_low`` and ``chunk_high``: the least and greatest ratio of a full chunk (0 for texts under two chunks).
+    ``chunk_low`` and ``chunk_high``: the least and greatest ratio of a chunk (that of the text, if it is shorter than one).
 
     Defined cases: null is the empty text: no words, ratio 0, base_failed. Each row is judged alone, so repeated rows get the
-    same verdict; ids may be null. Texts are handled about 1 MB at a time, a longer one by itself. No rows: no rows.
+    same verdict; ids may be null. Texts are handled about 1 MB at a time, a longer one by itself. Other columns, whatever their names, are
+    ignored. No rows: no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +131,11 @@ def measure(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", tex
 
 
 def reject(docs: DataFrame, bands: Bands = Bands(), text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is kept, with all their columns, in one pass and without a shuffle."""
+    """The rows of ``docs`` whose text ``measure`` keeps, with all their columns, in one pass and without a shuffle.
+
+    Null and empty texts are base_failed and go. Null ids and repeated rows are judged like others; columns may have any names and types.
+    Texts of any length are judged whole. No rows: no rows.
+    """
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,9 +48,15 @@ def brute(texts, library):
             return False
         raw, press = t.encode(), zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True)
         ratio = len(press.compress(raw)) / len(raw)
-        low, high = next((a, b) for most, a, b in ((256, 0.45, 1.1), (1024, 0.35, 0.88), (4096, 0.28, 0.78), (16384, 0.22, 0.7), (1e18, 0.18, 0.7)) if len(raw) <= most)
-        parts = [len(press.compress(raw[i : i + 2048])) / 2048 for i in range(0, len(raw) - 2047, 2048)] if len(raw) >= 4096 else []
-        return low <= ratio <= high and sum(not 0.2 <= x <= 0.75 for x in parts) <= 0.5 * len(parts)
+        def band(size):
+            return next((a, b) for most, a, b in ((256, 0.45, 1.1), (1024, 0.35, 0.88), (4096, 0.28, 0.78), (16384, 0.22, 0.7), (1e18, 0.18, 0.7)) if size <= most)
+
+        outside = 0
+        for part in [raw[i : i + 2048] for i in range(0, len(raw), 2048)] if len(raw) >= 2048 else []:
+            low, high = (0.2, 0.75) if len(part) == 2048 else band(len(part))
+            outside += len(part) * (not low <= len(press.compress(part)) / len(part) <= high)
+        low, high = band(len(raw))
+        return low <= ratio <= high and outside <= 0.5 * len(raw)
 
     kept = {i: t for i, t in enumerate(texts) if good(t)}
     sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in kept.items() for w in [words(t.lower())]}

@@ -96,16 +96,20 @@ SELECT page_id, host, path, rule, coalesce(action, CASE WHEN hit IS NOT NULL THE
 def _license_sql() -> str:
     def canonical(x: str) -> str:
         low = f"translate({x}, '{licenses.UPPER}', '{licenses.LOWER}')"
-        out = f"regexp_replace({low}, '(?m)^[ \\t]*(?:copyright|\\(c\\)|©)[^\\n]*$', '', 'g')"
+        out = low
+        for pattern, flags in ((licenses.COPYRIGHT_LINE, "g"), (licenses.TITLE, ""), (licenses.MARKER, "g")):
+            out = f"regexp_replace({out}, {_quote(pattern)}, '', '{flags}')" if flags else f"regexp_replace({out}, {_quote(pattern)}, '')"
         out = f"' ' || trim(regexp_replace({out}, '[^a-z0-9]+', ' ', 'g')) || ' '"
         for other, usual in licenses.SPELLINGS:
             out = f"replace({out}, ' {other} ', ' {usual} ')"
         return f"trim({out})"
 
     known = ", ".join(f"({_quote(name)}, {_quote(text)})" for name, text in licenses.KNOWN)
+    ready = ", ".join(f"({_quote(digest)}, {_quote(name)})" for name, digest, _ in licenses.DIGESTS)
     return f"""
 WITH known AS (
   SELECT sha256({canonical("text")}) AS digest, min(license) AS license FROM (VALUES {known}) k(license, text) GROUP BY 1
+  UNION ALL SELECT digest, license FROM (VALUES {ready}) r(digest, license)
 ), units AS (
   SELECT doc_id, 0::BIGINT AS unit, text AS part FROM documents WHERE text IS NOT NULL
   UNION ALL

@@ -18,6 +18,29 @@ def test_whole_texts_and_lines(make_docs):
     assert licenses.scan(make_docs(data).limit(0)).collect() == []
 
 
+def test_stock_licence_files(spark, make_docs):
+    texts = dict(licenses.KNOWN[:5])
+    star = texts["BSD-3-Clause"].replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")
+    data = [
+        "MIT License\n\nCopyright (c) 2021 Some One\n\n" + texts["MIT"] + "\n", "The MIT License (MIT)\n\n# Copyright 2021 Some One\n\n" + texts["MIT"], "BSD 3-Clause License\n\nCopyright (c) 2020, Some One\nAll rights reserved.\n\n" + star,
+        "ISC License\n\nCopyright © 2019 Some One\n\n" + texts["ISC"], "Copyright (c) 2019 Some One. All rights reserved.\n" + texts["BSD-2-Clause"], "MIT License\n\nnothing else",
+    ]
+    assert sorted((r.doc_id, r.license) for r in licenses.scan(make_docs(data)).where("unit = 0").collect()) == [(0, "MIT"), (1, "MIT"), (2, "BSD-3-Clause"), (3, "ISC"), (4, "BSD-2-Clause")]
+
+
+def test_full_texts_by_their_digests(make_docs):
+    from pathlib import Path
+
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}
+    if not all((folder / f).exists() for f in files.values()):
+        pytest.skip("no licence texts here")
+    data = [(folder / f).read_text() for f in files.values()]
+    data += [x.upper().replace("\n", "\r\n") for x in data] + [" ".join(data[0].split()), data[1] + "\nand more"]
+    found = {(r.doc_id, r.license) for r in licenses.scan(make_docs(data)).where("unit = 0").collect()}
+    assert found >= {(k, name) for k, name in enumerate(files)} | {(k + 5, name) for k, name in enumerate(files)} and all(i != 11 for i, _ in found)
+
+
 def test_repeated_rows_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "Released under CC0 1.0"), (2, "Released under CC0 1.0"), (2, "Released under CC0 1.0")], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in licenses.scan(docs).collect()) == ["2", "2", "None"]

@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 #: Rows of a block of candidates, and of queries. Scores of one query and one block are 64 KB.
 CANDIDATES, QUERIES = 8192, 2048
-_OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_OUT = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
@@ -51,9 +53,9 @@ def _score_blocks(k: int):
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         if not queries.num_rows or not candidates.num_rows:
             return _OUT.empty_table()
-        candidates = candidates.sort_by("vec_id")
-        ids = candidates["vec_id"].to_numpy().astype(np.int64)
-        own = queries["query_id"].to_numpy().astype(np.int64)
+        candidates = candidates.sort_by([("vec_id", "ascending"), ("row", "ascending")])
+        ids, rows = (candidates[c].to_numpy().astype(np.int64) for c in ("vec_id", "row"))
+        asked, own = (queries[c].to_numpy().astype(np.int64) for c in ("query_id", "query_row"))
         c_flat, c_offsets = _ragged(candidates["terms"])
         q_flat, q_offsets = _ragged(queries["terms"])
         row, term, weight = _terms(c_flat, c_offsets)
@@ -82,8 +84,8 @@ def _score_blocks(k: int):
                     np.add(scores, step, out=scores)
                 elif len(rows):
                     scores[rows] += weights * vector[t]
-            found, best = _select(scores, ids, k, ids != q)
-            out.append((np.full(len(found), q), found, best.astype(np.int64)))
+            found, best = _select(scores, ids, k, rows != q)
+            out.append((np.full(len(found), q), np.full(len(found), asked[i]), found, best.astype(np.int64)))
         return pa.table([np.concatenate(c) for c in zip(*out)], schema=_OUT)
 
     return run
@@ -99,18 +101,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
 
     Ties go to the smaller id. A query is not its own candidate; it gets all others if there are fewer than k. Vectors that are null
     or hold null or non-finite components, and rows with a null id, take no part. Vectors of unequal lengths are
-    scored over the components both have. Rows that repeat an id: each is a candidate, but not of a query of that id, and the
-    least of its vectors is the query. No rows: no rows.
+    scored over the components both have. Of rows that repeat an id, each is a query of its own and a candidate of the others.
+    Other columns, whatever their names, are ignored; vectors of any length are scored whole. No rows: no rows.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("terms"), is_query.alias("asks"))
-    rows = rows.where("vec_id is not null and terms is not null")
+    rows = materialise(rows.where("vec_id is not null and terms is not null").withColumn("row", F.monotonically_increasing_id()), "vectors")  # so that a row keeps its number
     n, asked = rows.agg(F.count(F.lit(1)), F.count(F.when(F.col("asks"), 1))).first()
     c_blocks, q_blocks = max(1, math.ceil(n / CANDIDATES)), max(1, math.ceil(asked / QUERIES))
-    queries = rows.where("asks").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("terms").alias("terms"))
-    queries = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks))).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))))
-    candidates = rows.select("vec_id", "terms", F.pmod(F.xxhash64("vec_id"), F.lit(c_blocks)).alias("cb"))
+    queries = rows.where("asks").select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"), "terms")
+    queries = queries.withColumn("qb", F.pmod(F.xxhash64("query_row"), F.lit(q_blocks))).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_blocks - 1).cast("long"))))
+    candidates = rows.select("row", "vec_id", "terms", F.pmod(F.xxhash64("row"), F.lit(c_blocks)).alias("cb"))
     candidates = candidates.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_blocks - 1).cast("long"))))
     grouped = queries.groupBy("qb", "cb").cogroup(candidates.groupBy("qb", "cb"))
-    found = grouped.applyInArrow(_score_blocks(k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = grouped.applyInArrow(_score_blocks(k), "query_row long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

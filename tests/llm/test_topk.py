@@ -7,14 +7,11 @@ from lodecraft.llm import topk
 
 def brute(rows, k):
     good = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
-    queries = {}
-    for i, v in good:
-        if i % 3 == 0:
-            queries[i] = min(v, queries.get(i, v))
     out = []
-    for q, v in queries.items():
-        scored = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in good if i != q))[:k]
-        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
+    for own, (q, v) in enumerate(good):
+        if q % 3 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for other, (i, w) in enumerate(good) if other != own)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
     return sorted(out)
 
 

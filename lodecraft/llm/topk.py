@@ -54,7 +54,7 @@ def _score_blocks(k: int):
         if not queries.num_rows or not candidates.num_rows:
             return _OUT.empty_table()
         candidates = candidates.sort_by([("vec_id", "ascending"), ("row", "ascending")])
-        ids, rows = (candidates[c].to_numpy().astype(np.int64) for c in ("vec_id", "row"))
+        ids, numbers = (candidates[c].to_numpy().astype(np.int64) for c in ("vec_id", "row"))
         asked, own = (queries[c].to_numpy().astype(np.int64) for c in ("query_id", "query_row"))
         c_flat, c_offsets = _ragged(candidates["terms"])
         q_flat, q_offsets = _ragged(queries["terms"])
@@ -84,7 +84,7 @@ def _score_blocks(k: int):
                     np.add(scores, step, out=scores)
                 elif len(rows):
                     scores[rows] += weights * vector[t]
-            found, best = _select(scores, ids, k, rows != q)
+            found, best = _select(scores, ids, k, numbers != q)
             out.append((np.full(len(found), q), np.full(len(found), asked[i]), found, best.astype(np.int64)))
         return pa.table([np.concatenate(c) for c in zip(*out)], schema=_OUT)
 

@@ -27,8 +27,15 @@ def build_session(master: str = "local[*]", app: str = "lodecraft", **conf: str)
     return prepare(builder.getOrCreate())
 
 
+#: Bytes of a batch that goes to a Python worker, where Spark's own limit (64 MB) holds: both sides keep a few batches for each task.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 8 << 20)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it is not installed (local runs, tests)."""
+    """Let Python workers import this package where it is not installed (local runs, tests), and give them batches of bounded size."""
+    name, usual, ours = BATCH
+    if spark.conf.get(name).removesuffix("b") == str(usual):
+        spark.conf.set(name, str(ours))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:

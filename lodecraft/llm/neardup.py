@@ -236,7 +236,7 @@ def _block_links(big: DataFrame, classes: DataFrame, docs: DataFrame, id_col: st
     other sets are pooled; every two blocks meet in a task of their own unless they hold the same component.
     """
     spark = docs.sparkSession
-    groups = materialise(components(big.select(F.col("hub").alias("a"), F.col("rid").alias("b"))), "groups")
+    groups = components(big.select(F.col("hub").alias("a"), F.col("rid").alias("b")))
     own = groups.select(F.col("id").alias("rid"), F.col("root").alias("g"))
     own = own.unionAll(groups.select(F.col("root").alias("rid"), F.col("root").alias("g"))).distinct()
     rows = materialise(big.select("rid", "root").distinct().join(own, "rid").join(classes.select("rid", "size"), "rid"), "crowd")
@@ -258,7 +258,10 @@ def _block_links(big: DataFrame, classes: DataFrame, docs: DataFrame, id_col: st
     ends = ends.select("unit", "g", "e.side", "e.block")
     dealt = ends.join(placed, ["g", "block"]).select("unit", "side", "rid", "root")
     sets = materialise(shingle_arrays(docs, id_col, text_col, placed.select("rid").distinct(), plan), "sets")
-    return dealt.join(sets, "rid").groupBy("unit").applyInPandas(_compare_blocks(plan.per_cent), "a long, b long")
+    links = materialise(dealt.join(sets, "rid").groupBy("unit").applyInPandas(_compare_blocks(plan.per_cent), "a long, b long"), "links")
+    for used in (groups, rows, count, placed, sets):
+        drop(spark, used)
+    return links
 
 
 def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,6 +280,11 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     (component_id null) and is kept. Rows that repeat an id are one document with several texts: it is linked with
     whatever one of its texts is linked with, and each row is returned. Other columns are ignored. No rows: no rows.
     """
+    return _labelled(docs, plan, id_col, text_col)[0]
+
+
+def _labelled(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """The result of ``near_duplicates``, and the tables that it reads, to be deleted once it is written."""
     spark = docs.sparkSession
     base = materialise(signatures(docs, id_col, text_col, plan).withColumn("row", F.monotonically_increasing_id()), "signatures")
     some = base.where("set_hash is not null and doc_id is not null")
@@ -289,7 +297,8 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     members = materialise(join_counted(keys, crowds, ["key"], F.col("rid"), "n", limit).select("key", "rid", "hub", "n"), "members")
     stars = shared.where("n = 2").select(F.col("hub").alias("a"), F.col("hi").alias("b")).unionAll(members.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")))
     links = _links(materialise(stars.distinct(), "stars"), by_rid, docs, id_col, text_col, plan)
-    roots = materialise(components(links), "roots")
+    roots = components(links)
+    drop(spark, links)
 
     own = materialise(members.join(roots.withColumnRenamed("id", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid")), "own")
     tops = own.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("up"), F.max("n").alias("n")).where("lo < up").select("key", "n")
@@ -298,9 +307,9 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
     x, y = small.select("key", F.col("rid").alias("a"), F.col("root").alias("ra")), small.select("key", F.col("rid").alias("b"), F.col("root").alias("rb"))
     crossing = materialise(x.join(y, "key").where("a < b and ra <> rb").select("a", "b").distinct(), "crossing")
     more = [_links(crossing, by_rid, docs, id_col, text_col, plan)]
-    big = mixed.where(F.col("n") > SMALL).select("hub", "rid", "root").distinct()
+    big = materialise(mixed.where(F.col("n") > SMALL).select("hub", "rid", "root").distinct(), "big")
     if not big.isEmpty():
-        more.append(_block_links(materialise(big, "big"), by_rid, docs, id_col, text_col, plan))
+        more.append(_block_links(big, by_rid, docs, id_col, text_col, plan))
     twice = some.groupBy("doc_id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("doc_id", "n")
     total = hot_limit(base.count(), spark)
     texts = join_counted(some.select("doc_id", "set_hash", "row"), twice, ["doc_id"], F.col("row"), "n", total).select("doc_id", "set_hash", "row")
@@ -311,14 +320,15 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id"
         rest = rest.unionAll(part)
     rest = materialise(rest, "links")
     if not rest.isEmpty():
-        roots = materialise(components(rest.unionAll(roots.select(F.col("id").alias("a"), F.col("root").alias("b")))), "roots")
-    for used in (shared, members, own, mixed):
+        first, roots = roots, components(rest.unionAll(roots.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+        drop(spark, first)
+    for used in (shared, members, own, mixed, crossing, big, rest, *more[:-1]):
         drop(spark, used)
     labels = classes.join(roots.select(F.col("id").alias("rid"), "root"), "rid", "left").where("copies > 1 or root is not null")
     labels = labels.select("set_hash", F.coalesce("root", "rid").alias("root"), "copies")
     done = join_counted(some, labels, ["set_hash"], F.col("row"), "copies", total, "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
     rest = base.where("set_hash is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return done.unionAll(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return done.unionAll(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), [base, classes, roots]
 
 
 def keep_one(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,7 +338,10 @@ def keep_one(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_
     those are taken as equal). Columns may have any names and types. No rows: no rows.
     """
     spark = docs.sparkSession
-    found = materialise(near_duplicates(docs, plan, id_col, text_col).where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")), "kept")
+    labelled, used = _labelled(docs, plan, id_col, text_col)
+    found = materialise(labelled.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n")), "kept")
+    for table in used:
+        drop(spark, table)
     hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(*hashed).alias("hash"), F.monotonically_increasing_id().alias("place"))
     chosen = join_counted(rows.where("id is not null"), found, ["id"], F.col("place"), "n", hot_limit(docs.count(), spark))

@@ -93,13 +93,26 @@ def find_words(rows: range, data: np.ndarray, offsets: np.ndarray) -> Block:
 
 
 def word_hashes(block: Block, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word of the block."""
-    data = LOWER[block.data] if lower else block.data
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], out=sums[1:])
-    value = (sums[block.ends] - sums[block.starts]) * down[block.starts]
-    return mix(value + (block.ends - block.starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each word of the block.
+
+    It does not depend on where a word stands, so long texts are taken in pieces of about ``BLOCK`` bytes that end with a word;
+    a longer word is a piece of its own.
+    """
+    out = np.empty(len(block.starts), _U)
+    at = 0
+    while at < len(out):
+        low = int(block.starts[at])
+        to = max(at + 1, int(np.searchsorted(block.ends, low + BLOCK, "right")))
+        starts, ends = block.starts[at:to] - low, block.ends[at:to] - low
+        data = block.data[low : low + int(ends[-1])]
+        data = LOWER[data] if lower else data
+        up, down = powers(len(data) + 1)
+        sums = np.zeros(len(data) + 1, _U)
+        np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], out=sums[1:])
+        value = (sums[ends] - sums[starts]) * down[starts]
+        out[at:to] = mix(value + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+        at = to
+    return out
 
 
 def window_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lodecraft import storage
 from lodecraft.llm import neardup, words
 from lodecraft.operators.graph import components
 
@@ -114,3 +115,21 @@ def test_words_match_the_pattern():
             span = range(block.first[i], block.first[i + 1])
             found.append([bytes(block.data[block.starts[k] : block.ends[k]]).decode() for k in span])
     assert found == [WORD.findall(t or "") for t in texts]
+
+
+def test_hashes_do_not_depend_on_the_pieces_of_a_long_text(monkeypatch):
+    texts = pa.array(["alpha beta  gamma " * 40, "", "b" * 300 + " c", None, "É ß alpha"])
+    whole = [words.word_hashes(b, True) for b in words.blocks(texts, 1 << 20)]
+    monkeypatch.setattr(words, "BLOCK", 50)
+    pieces = [words.word_hashes(b, True) for b in words.blocks(texts, 1 << 20)]
+    assert len(whole) == 1 and (whole[0] == pieces[0]).all() and whole[0][0] == whole[0][-1]
+
+
+def test_only_the_kept_ids_stay_in_storage(make_docs, spark):
+    docs = make_docs(corpus(n=60))
+    files, folder = storage.file_system(spark, storage.own_dir(spark))
+    there = {str(f.getPath()) for f in files.listStatus(folder)} if files.exists(folder) else set()
+    kept = neardup.keep_one(docs, neardup.Plan(n=5, per_cent=80))
+    left = {str(f.getPath()) for f in files.listStatus(folder)} - there
+    assert kept.count() > 0
+    assert len(left) == 1 and "/kept-" in left.pop()

@@ -51,8 +51,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, applied to ``documents``; each stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The rows of the last stage, applied to ``documents``; each stage's rows are written and read again, and deleted once the next ones are written."""
+    docs = source = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = storage.materialise(stage(spark, docs, sf_dir), name)
+        before, docs = docs, storage.materialise(stage(spark, docs, sf_dir), name)
+        if before is not source:
+            storage.drop(spark, before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,6 +16,7 @@ WHITE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 #: The same but for the blank, one by one.
 _ODD = "".join(map(chr, [*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 SHINGLE = 5
+PERMUTATIONS = 128
 
 
 def collapse(text: Column) -> Column:

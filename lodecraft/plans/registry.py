@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("corpus", "answers", "evaluation", "routing", "sft", "streams")
+MODULES = ("corpus", "answers", "evaluation", "routing", "sft", "streams", "artifacts")
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}

@@ -27,7 +27,7 @@ def _(spark, d):
     from ..functions import text
 
     w = winners(spark, d, ["canonical"]).select("task_id", text.shingles(F.col("canonical")).alias("s"))
-    return w.select("task_id", F.array(*[F.array_min(F.transform("s", lambda x, k=k: F.xxhash64(F.lit(42), F.lit(k), x))) for k in range(16)]).alias("signature"))
+    return w.select("task_id", F.array(*[F.array_min(F.transform("s", lambda x, k=k: F.xxhash64(F.lit(42), F.lit(k), x))) for k in range(text.PERMUTATIONS)]).alias("signature"))
 
 
 @query("sink_task_parquet")
@@ -157,10 +157,10 @@ def _(spark, d):
     return m.select("conv_id", F.size("mask").cast("long").alias("tokens"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).cast("long").alias("trained"))
 
 
-@query("mask_invariant", f"WITH {_SIZED} SELECT conv_id, true AS ok FROM s")
+@query("mask_invariant", f"WITH {_SIZED} SELECT conv_id, list_sum(sizes)::BIGINT AS mask_length, list_sum(sizes) > 0 AS ok FROM s")
 def _(spark, d):
     m = _sized(spark, d).withColumn("mask", sft.assistant_mask(F.col("sizes"), F.col("roles")))
-    return m.select("conv_id", (F.size("mask") == F.aggregate("sizes", F.lit(0), lambda a, x: a + x)).alias("ok"))
+    return m.select("conv_id", F.size("mask").cast("long").alias("mask_length"), ((F.size("mask") > 0) & (F.size("mask") == F.aggregate("sizes", F.lit(0), lambda a, x: a + x))).alias("ok"))
 
 
 @query("pad_batch", "WITH s AS (SELECT doc_id, (doc_id % 7 + 1) AS n FROM documents), b AS (SELECT doc_id // 8 AS batch, max(n) AS most FROM s GROUP BY 1) SELECT doc_id, list_concat(range(0, n), list_transform(range(n, most), lambda x: -1)) AS ids FROM s JOIN b ON batch = doc_id // 8")

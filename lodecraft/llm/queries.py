@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, langid, licenses, mixing, neardup, packing, quality, secrets, shards, topk, url_rules, whitening
+from . import html_text, langid, licenses, mixing, neardup, packing, quality, resample, secrets, shards, topk, url_rules, whitening
 
 #: Host/path rules of the url query, and the key of the training order.
 URL_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -72,8 +72,12 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_license_scans, op3_url_filters, op4_secret_scans, op5_mixing, op6_quality_rules, op7_packing, op8_token_shards, op9_exact_top_k, op10_minhash_near_dedup, op11_language_id, op12_embedding_whitening)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_license_scans, op3_url_filters, op4_secret_scans, op5_mixing, op6_quality_rules, op7_packing, op8_token_shards, op9_exact_top_k, op10_minhash_near_dedup, op11_language_id, op12_embedding_whitening, op13_importance_resampling)}
 
 
 def _quote(text: str) -> str:

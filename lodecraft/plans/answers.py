@@ -186,11 +186,35 @@ def _(spark, d):
     return rows.select("q", "n", "reference", verdict.alias("verdict"))
 
 
-@query("verify_expression")
+_FORMS = (
+    # (prediction, reference): equal if <q> is the reference's number <r>, except where noted; numbers are put in for letters in < >
+    (r"<q>x + <n>", r"<n> + x*<r>"),
+    (r"\sin(x)^2 + \cos(x)^2 + <q>", r"<r> + 1"),
+    (r"\sqrt{<n>*<q>*<q>}", r"<r>\sqrt{<n>}"),
+    (r"\ln(3^{<q>})", r"<r>\ln 3"),
+    (r"(x+<q>)(x-<n>)", r"x^2 + (<r>-<n>)x - <n>*<r>"),
+    (r"\frac{x^2-<q>^2}{x-<q>}", r"x+<r>"),  # never: x = <q> is left out
+    (r"x/x + <q>", r"<r> + 1"),  # never
+    (r"y + <q>", r"x + <r>"),  # never
+    (r"\frac{<q>}{", r"<r>"),  # no expression
+    (r"\int x + <q>", r"<r>"),  # beyond the grammar
+)
+
+
+@query("verify_expression", f"""{_VR}, f AS (SELECT DISTINCT q, n, reference, r, unnest(range(10)) AS form FROM v)
+SELECT q, n, form, reference, CASE WHEN form = 9 THEN 'undecided' WHEN form = 8 THEN 'invalid_prediction' WHEN form < 5 AND q = r THEN 'correct' ELSE 'incorrect' END AS verdict FROM f""")
 def _(spark, d):
-    rows = answers(spark, d).select("q", "n", "reference").distinct()
-    rows = rows.withColumn("p", F.format_string("%dx + %d", "q", "n")).withColumn("r", F.format_string("%d + x*%s", "n", "reference"))
-    return A.verify(rows, "p", "r", "expression").select("q", "n", "reference", "verdict")
+    """Equal and unequal pairs of each form: polynomials, identities, roots, logarithms, points left out, other symbols, broken and unread texts."""
+    rows = answers(spark, d).select("q", "n", "reference").distinct().withColumn("form", F.explode(F.sequence(F.lit(0), F.lit(len(_FORMS) - 1))))
+
+    def fill(form):
+        out = F.lit(form)
+        for letter, value in (("q", F.col("q").cast("string")), ("n", F.col("n").cast("string")), ("r", F.col("reference"))):
+            out = F.replace(out, F.lit(f"<{letter}>"), value)
+        return out
+
+    p, r = (F.element_at(F.array(*[fill(form[k]) for form in _FORMS]), F.col("form") + 1) for k in (0, 1))
+    return A.verify(rows.withColumn("p", p).withColumn("r", r), "p", "r", "expression").select("q", "n", F.col("form").cast("long").alias("form"), "reference", "verdict")
 
 
 _TURN = """turns AS (SELECT DISTINCT form, q, n, CASE form WHEN 0 THEN '<think>a</think> <final>{"answer": "' || q || '"}</final>' WHEN 1 THEN '' WHEN 2 THEN '<final>{"answer": "1"}</final><final>{"answer": "2"}</final>' WHEN 3 THEN '<tool_call>{"name": "python", "arguments": {"x": ' || q || '}}</tool_call>' WHEN 4 THEN 'text <final>{"answer": "1"}</final>' WHEN 5 THEN '<final>{"answer": ' || q || '</final>' WHEN 6 THEN '<final>{"answer": ' || q || '}</final>' ELSE '<tool_call>{"name": "Py", "arguments": {}}</tool_call>' END AS raw FROM answers)"""

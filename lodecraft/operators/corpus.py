@@ -12,7 +12,6 @@ from pyspark.sql.types import BooleanType, NumericType
 
 from ..functions import answers, text
 from ..storage import drop, materialise
-from .graph import components
 from .numbering import number_rows
 from .skew import hot_limit, join_counted
 
@@ -197,59 +196,3 @@ def id_digest(ids: DataFrame, by: str, column: str) -> DataFrame:
     The digest is over one string a group by definition, so a group is gathered; ids are its only content.
     """
     return ids.groupBy(by).agg(F.count(F.lit(1)).alias("n"), text.sha256_hex(F.array_join(F.array_sort(F.collect_list(column)), "\n")).alias("digest"))
-
-
-def lsh_pairs(texts: DataFrame, bands: int = 20, rows: int = 4, seed: int = 42) -> DataFrame:
-    """(a, b, bands_met): pairs of (id, canonical) that agree in all MinHash values of some band; candidates, not verified.
-
-    Each value is the least of seeded 64-bit hashes of the shingles. A band's bucket links its members to its smallest id
-    only, so a bucket of n texts gives n - 1 pairs.
-    """
-    sets = texts.select("id", text.shingles(F.col("canonical")).alias("s"))
-    values = [F.array_min(F.transform("s", lambda x, k=k: F.xxhash64(F.lit(seed), F.lit(k), x))) for k in range(bands * rows)]
-    signed = sets.select("id", F.array(*values).alias("v"))
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.slice("v", b * rows + 1, rows).alias("key")))
-    buckets = signed.select("id", F.explode(keys).alias("k")).select("id", "k.band", "k.key")
-    hub = buckets.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return buckets.join(hub, ["band", "key"]).where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("bands_met"))
-
-
-def greedy_survivors(pdf):
-    """Within one component, in content order: each task that is left meets its neighbours that are left, and one stays.
-
-    Held-out data stay before training data, then the smaller id. Returns the tasks that are kept.
-    """
-    import pandas as pd
-
-    nodes = {r.task_id: (r.content_key, r.train, r.task_id) for r in pdf.itertuples()}
-    near: dict[str, set[str]] = {t: set(r) for t, r in zip(pdf["task_id"], pdf["near"])}
-    gone: set[str] = set()
-    kept = []
-    for task in sorted(nodes, key=lambda t: nodes[t][0]):
-        if task not in gone:
-            group = {task} | (near[task] - gone)
-            winner = min(group, key=lambda t: nodes[t][1:])
-            gone |= group - {winner}
-            if winner == task:
-                kept.append(task)
-    return pd.DataFrame({"task_id": pd.Series(kept, dtype=object)})
-
-
-def near_dedup(winners: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """``winners`` without near-duplicates: greedy by content order within each component of the exact near pairs.
-
-    Tasks without a near pair are kept as they are; only components go to Python, each as a whole, since the
-    greedy order is sequential by definition.
-    """
-    base = materialise(winners.select("task_id", "dataset", "content_key", "canonical", (F.col("intended_use") == "train").alias("train")), "winners")
-    pairs = materialise(near_pairs(base.select(F.col("content_key").alias("id"), "canonical"), threshold).select("a", "b"), "pairs")
-    ids = base.select(F.conv(F.left("content_key", F.lit(15)), 16, 10).cast("long").alias("n"), "content_key")
-    number = lambda c: F.conv(F.left(c, F.lit(15)), 16, 10).cast("long")
-    roots = components(pairs.select(number(F.col("a")).alias("a"), number(F.col("b")).alias("b")))
-    labels = roots.unionAll(roots.select(F.col("root").alias("id"), "root")).distinct()
-    both = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(base.select(F.col("content_key").alias("b"), F.col("task_id").alias("near_id")), "b").groupBy("a").agg(F.collect_set("near_id").alias("near"))
-    linked = base.join(near, base.content_key == near.a).drop("a").join(ids, "content_key").join(labels, F.col("n") == F.col("id"))
-    survivors = linked.select("root", "task_id", "content_key", "train", "near").groupBy("root").applyInPandas(greedy_survivors, "task_id string")
-    alone = base.join(near.select(F.col("a").alias("content_key")), "content_key", "left_anti").select("task_id", "dataset", "content_key")
-    return alone.unionByName(base.join(survivors, "task_id", "left_semi").select("task_id", "dataset", "content_key"))

@@ -50,11 +50,11 @@ def test_other_queries_give_rows(spark, name):
 
 def test_near_pairs_of_the_smallest_tables(spark):
     """Near-duplicates leave one of each pair, and what is left has no pair."""
-    from lodecraft.operators import corpus
+    from lodecraft.operators import corpus, similar
     from lodecraft.plans.corpus import winners
 
     w = winners(spark, FOLDER, ["canonical"])
     pairs = corpus.near_pairs(w.selectExpr("task_id AS id", "canonical")).collect()
-    kept = {r.task_id for r in corpus.near_dedup(w).collect()}
+    kept = {r.task_id for r in similar.near_dedup(w).collect()}
     assert pairs and not [p for p in pairs if p.a in kept and p.b in kept]
     assert len(kept) >= w.count() - len(pairs)

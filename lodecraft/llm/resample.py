@@ -22,7 +22,7 @@ from .words import LOWER, as_bytes, mix
 
 _U = np.uint64
 #: Bytes of text in a block (a longer text is a block of its own), and bytes of encoded texts, about one or two a word, for each range of the dictionary.
-BLOCK, RANGE = 16 << 20, 500_000
+BLOCK, RANGE = 8 << 20, 500_000
 # Bytes of words are 0-9, A-Z, a-z and all beyond ASCII.
 IN_WORD = np.zeros(256, bool)
 IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -129,17 +129,19 @@ def block_features(sizes: np.ndarray, vocabulary: pa.Array, codes: np.ndarray, p
     words, v = vocabulary.take(pa.array(order)), len(order)
     rank = np.empty(v, np.int64)
     rank[order] = np.arange(v)
-    code, text = rank[codes], np.repeat(np.arange(len(sizes)), sizes)
+    code, text = rank[codes], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     same = text[1:] == text[:-1]
     key = np.concatenate([code * (v + 1), (code[:-1] * (v + 1) + code[1:] + 1)[same]])
     text = np.concatenate([text, text[1:][same]])
     feature, own = pd.factorize(key)
+    del code, key, same
+    feature = feature.astype(np.int32)
     first, second = own // (v + 1), own % (v + 1) - 1
     crc = np.append(np.fromiter((zlib.crc32(x) for x in words.to_pylist()), _U, v), _U(0xFFFFFFFF))
     part = (mix((crc[first] << _U(32)) | crc[second]) % _U(parts)).astype(np.int64)
     order = np.lexsort((own, part))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
     counts = np.bincount(feature, minlength=len(own))
     return Features(part[order], first[order], second[order], counts[order], text, place[feature]), words
 

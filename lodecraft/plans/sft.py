@@ -15,12 +15,12 @@ from .views import CANON, KEPT, MESSAGES, RECORDS, TRACES, messages, records, ta
 
 # Greedy in the order of content keys: one step of the recursion is one task's turn, over the tasks that have a near one.
 _GREEDY = _NEAR[: _NEAR.rindex("SELECT a, b, common")] + """, pairs AS (SELECT a, b FROM cnt WHERE common >= (na + nb - common) * 0.9), mutual AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
-v AS (SELECT w.task_id, row_number() OVER (ORDER BY w.content_key) AS turn, (w.intended_use = 'train')::INT || w.task_id AS rank, list(b.b) AS near FROM winners w JOIN mutual b ON b.a = w.task_id GROUP BY ALL),
+ranked AS (SELECT task_id, content_key, CAST(CAST(intended_use = 'train' AS INTEGER) AS VARCHAR) || task_id AS rank FROM winners WHERE task_id IN (SELECT a FROM mutual)),
+near AS (SELECT a, list({'id': r.task_id, 'rank': r.rank}) AS near FROM mutual JOIN ranked r ON r.task_id = b GROUP BY a),
+v AS (SELECT task_id, row_number() OVER (ORDER BY content_key) AS turn, list_append(near, {'id': task_id, 'rank': rank}) AS around FROM ranked JOIN near ON a = task_id),
 steps AS (SELECT 0::BIGINT AS turn, []::VARCHAR[] AS gone UNION ALL
-  SELECT s.turn + 1, CASE WHEN list_contains(s.gone, v.task_id) THEN s.gone ELSE list_concat(s.gone, (
-    SELECT list(x.task_id) FROM v x WHERE (x.task_id = v.task_id OR list_contains(v.near, x.task_id)) AND NOT list_contains(s.gone, x.task_id)
-      AND x.rank <> (SELECT min(y.rank) FROM v y WHERE (y.task_id = v.task_id OR list_contains(v.near, y.task_id)) AND NOT list_contains(s.gone, y.task_id)))) END
-  FROM steps s JOIN v ON v.turn = s.turn + 1),
+  SELECT turn, list_concat(gone, list_filter(list_transform(around, lambda x: CASE WHEN x.rank <> list_min(list_transform(around, lambda y: y.rank)) THEN x.id END), lambda x: x IS NOT NULL)) AS gone
+  FROM (SELECT v.turn, s.gone, CASE WHEN list_contains(s.gone, v.task_id) THEN [] ELSE list_filter(v.around, lambda x: NOT list_contains(s.gone, x.id)) END AS around FROM steps s JOIN v ON v.turn = s.turn + 1)),
 done AS (SELECT gone FROM steps ORDER BY turn DESC LIMIT 1)
 SELECT task_id, dataset, content_key FROM winners WHERE NOT list_contains((SELECT gone FROM done), task_id)"""
 _GREEDY = _GREEDY.replace("WITH ", "WITH RECURSIVE ", 1)

@@ -108,7 +108,7 @@ def measure(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", tex
     """(doc_id, statistics, ratios, base_failed, verdict, kept) of each row's whole text, without a shuffle.
 
     Words are runs of characters other than space and TAB..CR. ``n_repeat_words``: words in 8-word windows that are
-    in the text twice or more; windows are compared by 64-bit hashes. ``ratio``: zstandard bytes over bytes;
+    in the text twice or more; windows are compared by 64-bit hashes of their words' numbers (``words``). ``ratio``: zstandard bytes over bytes;
     ``chunk_low`` and ``chunk_high``: the least and greatest ratio of a chunk (that of the text, if it is shorter than one).
 
     Defined cases: null is the empty text: no words, ratio 0, base_failed. Each row is judged alone, so repeated rows get the

@@ -1,7 +1,7 @@
 """Byte-level BPE ids of many texts at once.
 
 A text is cut into pre-tokens by array operations on its code points; each distinct pre-token is encoded once and
-kept, by hash, in a table of the worker. The ids are those of the ``tokenizers`` library for the same file: a
+kept in a table of the worker, by its characters. The ids are those of the ``tokenizers`` library for the same file: a
 file of another kind, and texts with special tokens or characters of unsettled classes, go to that library itself.
 """
 
@@ -13,13 +13,11 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
-from .words import mix, powers
-
-_U = np.uint64
 BLOCK = 1 << 20
 #: Distinct pre-tokens that a worker keeps.
-KEPT = 1_500_000
+KEPT = 300_000
 LETTER, NUMBER, SPACE, OTHER, UNSURE = 0, 1, 2, 3, 9
 # The white space of the byte-level pattern, and its contractions.
 WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -85,7 +83,11 @@ class Encoder:
             spec = json.load(f)
         self.special = tuple(x["content"] for x in spec.get("added_tokens") or ())
         self.piece = self._piece_encoder(spec)
-        self.hashes, self.offsets, self.lengths, self.flat = np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.offsets, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     @staticmethod
     def _piece_encoder(spec: dict):
@@ -139,13 +141,9 @@ class Encoder:
                 self._block(texts, rest, out)
             return odd
         starts = cut(points, kinds, begins)
-        ends = np.append(starts[1:], len(points))
-        up, down = powers(len(points) + 1)
-        sums = np.zeros(len(points) + 1, _U)
-        np.cumsum((points.astype(_U) + _U(1)) * up[: len(points)], out=sums[1:])
-        hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
-        own, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at = self._places(own, first, starts, ends, points)
+        offsets = pa.py_buffer((np.append(starts, len(points)).astype(np.int64) * 4).tobytes())
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, offsets, pa.py_buffer(points)]).dictionary_encode()
+        at, back = self._places(pieces.dictionary.to_pylist()), pieces.indices.to_numpy(zero_copy_only=False)
         per = self.lengths[at][back]
         total = np.cumsum(per)
         take = np.repeat(self.offsets[at][back] - (total - per), per) + np.arange(total[-1] if len(total) else 0)
@@ -155,25 +153,19 @@ class Encoder:
             out[i] = ids[stops[k] : stops[k + 1]]
         return []
 
-    def _places(self, own: np.ndarray, first: np.ndarray, starts: np.ndarray, ends: np.ndarray, points: np.ndarray) -> np.ndarray:
-        """Where the ids of each distinct pre-token are kept; new ones are encoded."""
-        if len(self.hashes) > KEPT:
-            self.hashes, self.offsets, self.lengths, self.flat = self.hashes[:0], self.offsets[:0], self.lengths[:0], self.flat[:0]
-        at = np.searchsorted(self.hashes, own)
-        known = np.zeros(len(own), bool)
-        inside = at < len(self.hashes)
-        known[inside] = self.hashes[at[inside]] == own[inside]
-        new = np.flatnonzero(~known)
-        if len(new):
-            where = first[new]
-            made = [self.piece(points[a:b].tobytes().decode("utf-32-le", "surrogatepass").encode()) for a, b in zip(starts[where], ends[where])]
+    def _places(self, pieces: list[bytes]) -> np.ndarray:
+        """Where the ids of each pre-token (UTF-32) are kept; new ones are encoded."""
+        if len(self.known) > KEPT:
+            self._forget()
+        new = [x for x in pieces if x not in self.known]
+        if new:
+            made = [self.piece(x.decode("utf-32-le", "surrogatepass").encode()) for x in new]
             lengths = np.fromiter(map(len, made), np.int64, len(made))
             flat = np.fromiter((t for x in made for t in x), np.uint32, int(lengths.sum()))
-            offsets = len(self.flat) + np.cumsum(lengths) - lengths
-            self.hashes, self.offsets, self.lengths = np.insert(self.hashes, at[new], own[new]), np.insert(self.offsets, at[new], offsets), np.insert(self.lengths, at[new], lengths)
-            self.flat = np.concatenate([self.flat, flat])
-            at = np.searchsorted(self.hashes, own)
-        return at
+            self.offsets = np.concatenate([self.offsets, len(self.flat) + np.cumsum(lengths) - lengths])
+            self.lengths, self.flat = np.concatenate([self.lengths, lengths]), np.concatenate([self.flat, flat])
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 
 
 @lru_cache(2)

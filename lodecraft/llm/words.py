@@ -1,11 +1,13 @@
 """Words, word hashes and shingles of many texts at once, on bytes.
 
-Words are maximal runs of bytes other than space and TAB..CR, so UTF-8 needs no decoding. A word's hash is a
-polynomial of its bytes modulo 2**64, taken for every word of a block from one running sum, then mixed.
+Words are maximal runs of bytes other than space and TAB..CR, so UTF-8 needs no decoding. The number of a word of up to 7 bytes is those bytes and
+their count, mixed one to one; that of a longer one is 64 bits of its BLAKE2b digest. So short words never share a number, and no
+family of long ones is known to.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -14,14 +16,13 @@ import pyarrow as pa
 
 BLOCK = 1 << 20
 _U = np.uint64
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INVERSE = pow(_P, -1, 1 << 64)
+#: Bytes of a word that its number holds itself.
+SHORT = 7
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,16 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, BLOCK + 4096)
-        for name, base in (("up", _P), ("down", _P_INVERSE)):
-            steps = np.full(size, _U(base))
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
-
-
 class Block(NamedTuple):
     """Some whole texts. ``rows``: their places in the batch; ``offsets``: bytes before each; ``first``: words before each."""
 
@@ -92,11 +83,23 @@ def find_words(rows: range, data: np.ndarray, offsets: np.ndarray) -> Block:
     return Block(rows, data, offsets, starts, ends, np.searchsorted(starts, offsets))
 
 
+def _long_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Digests of words of more than ``SHORT`` bytes, each different one made once."""
+    lengths = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] = 1
+    inside[ends] -= 1  # a word may begin where one of the text before ends
+    flat = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(flat.tobytes())]).dictionary_encode()
+    own = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words.dictionary.to_pylist())
+    return np.frombuffer(own, _U)[words.indices.to_numpy(zero_copy_only=False)]
+
+
 def word_hashes(block: Block, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word of the block.
+    """A 64-bit number for each word of the block, which does not depend on where the word stands.
 
-    It does not depend on where a word stands, so long texts are taken in pieces of about ``BLOCK`` bytes that end with a word;
-    a longer word is a piece of its own.
+    Long texts are taken in pieces of about ``BLOCK`` bytes that end with a word; a longer word is a piece of its own.
     """
     out = np.empty(len(block.starts), _U)
     at = 0
@@ -106,11 +109,16 @@ def word_hashes(block: Block, lower: bool = False) -> np.ndarray:
         starts, ends = block.starts[at:to] - low, block.ends[at:to] - low
         data = block.data[low : low + int(ends[-1])]
         data = LOWER[data] if lower else data
-        up, down = powers(len(data) + 1)
-        sums = np.zeros(len(data) + 1, _U)
-        np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], out=sums[1:])
-        value = (sums[ends] - sums[starts]) * down[starts]
-        out[at:to] = mix(value + (ends - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
+        lengths = ends - starts
+        long = lengths > SHORT
+        padded = np.concatenate([data, np.zeros(SHORT, np.uint8)])
+        packed = lengths.astype(_U) << _U(56)
+        for k in range(SHORT):
+            packed |= np.where(lengths > k, padded[starts + k], 0).astype(_U) << _U(8 * k)
+        own = mix(packed)
+        if long.any():
+            own[long] = _long_words(data, starts[long], ends[long])
+        out[at:to] = own
         at = to
     return out
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -39,6 +40,8 @@ _BARRIERS = frozenset("table td th caption html body button object template".spl
 MAX_DEPTH = 2000
 # How far cells may span, as in the HTML standard.
 MAX_COLUMNS, MAX_ROWS = 1000, 65534
+#: Width up to which cells are padded, what aligned rows may take beside the text they hold, and spans that a table's rows look at before spans down are no longer followed.
+PAD, GROWTH, STEPS = 200, 16, 5_000_000
 _NOT_SHOWN = re.compile(r"(?<![\w-])(?:display\s*:\s*none|content-visibility\s*:\s*hidden)", re.I)
 _VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*(\w+)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
@@ -335,13 +338,75 @@ def _cells(row: Node, keep: bool, shown: bool) -> Iterator[tuple[list[str], int,
             yield page.done(), min(max(_number(cell.get("colspan"), 1), 1), MAX_COLUMNS), min(max(_number(cell.get("rowspan"), 1), 1), MAX_ROWS)
 
 
+class _Spans:
+    """Columns that cells of rows above still take: (first, end, last row), by column. Neighbours that end in one row are one."""
+
+    def __init__(self):
+        self.held: list[tuple[int, int, int]] = []
+        self.steps = STEPS
+
+    def place(self, row: int, cells: list[tuple]) -> list[tuple[int, list[str], int, int]]:
+        """(column, lines, across, down) of a row's cells: each stands in the first column that is free."""
+        held = [x for x in self.held if x[2] >= row] if self.steps > 0 else []
+        out, new, column, at = [], [], 0, 0
+        self.steps -= len(held)
+        for lines, across, down in cells:
+            while at < len(held) and held[at][0] <= column:
+                column = max(column, held[at][1])
+                at += 1
+            out.append((column, lines, across, down))
+            if down > 1:
+                new.append((column, column + across, row + down - 1))
+            column += across
+        self.held = []
+        for x in sorted(held + new):
+            if self.held and self.held[-1][1] == x[0] and self.held[-1][2] == x[2]:
+                x = (self.held.pop()[0], *x[1:])
+            self.held.append(x)
+        self.last = max([column, *(x[1] for x in self.held)]) - 1
+        return out
+
+
+def _aligned(grid: list[tuple[list[tuple], int]]) -> list[str] | None:
+    """Rows whose cells are padded to their columns' widths; None if that is longer than the text allows.
+
+    A cell wider than ``PAD`` is neither padded nor counted for its column. ``GROWTH`` times what the cells hold, blanks left out, bounds the output.
+    """
+    widths: dict[int, int] = {}
+    held = cells = 0
+    for row, _ in grid:
+        for k, lines, _, _ in row:
+            if lines:
+                sizes = [w for x in lines if (w := _width(x)) <= PAD]
+                widths[k] = max(widths.get(k, 0), *sizes, 0)
+                held += sum(len(x) - x.count(" ") for x in lines)
+            cells += 1
+    filled = sorted(widths)
+    before = [0]
+    for k in filled:
+        before.append(before[-1] + widths[k])
+    size = 0
+    for row, last in grid:
+        height = max((len(lines) for _, lines, _, _ in row), default=0)
+        size += height * (3 * (last + 1) + before[bisect_right(filled, last)]) + sum(len(x) for _, lines, _, _ in row for x in lines)
+    if size > GROWTH * (held + 3 * cells) + 200:
+        return None
+    out = []
+    for row, last in grid:
+        of = {k: lines for k, lines, _, _ in row}
+        for i in range(max((len(lines) for lines in of.values()), default=0)):
+            texts = [of[k][i] if k in of and i < len(of[k]) else "" for k in range(last + 1)]
+            out.append(" | ".join(x + " " * (widths.get(k, 0) - _width(x)) for k, x in enumerate(texts)).rstrip())
+    return out
+
+
 def _table(node: Node, keep: bool, shown: bool) -> list[str]:
-    """Captions and stray content first, then rows whose cells are padded to their columns' widths and parted by `` | ``.
+    """Captions and stray content first, then rows whose cells are padded to their columns' widths and parted by `` | `` (``_aligned``).
 
-    A cell stands in the first column that no cell from above reaches into; its text is in its first row and column.
+    A cell stands in the first column that no cell from above reaches into; its text is in its first row and column. Where aligned rows would be
+    out of proportion, a row is its filled cells, line by line, parted by `` | ``.
     """
-    before, grid = _Page(), []
-    reach: dict[int, int] = {}  # column -> rows that a cell from above still takes
+    before, grid, spans = _Page(), [], _Spans()
     for part, seen in _parts(node, shown):
         if isinstance(part, str):
             if seen:
@@ -353,33 +418,19 @@ def _table(node: Node, keep: bool, shown: bool) -> list[str]:
             _flow(holder, before, keep, seen)
             before.edge(1)
         else:
-            cells: dict[int, list[str]] = {k: [] for k in reach}
-            taken, column = {k: n - 1 for k, n in reach.items() if n > 1}, 0
-            for lines, across, down in _cells(part, keep, seen):
-                while column in reach:
-                    column += 1
-                for k in range(column, column + across):
-                    cells[k] = lines if k == column else []
-                    if down > 1:
-                        taken[k] = down - 1
-                column += across
-            reach = taken
-            grid.append([cells.get(k, []) for k in range(max(cells, default=-1) + 1)])
+            row = spans.place(len(grid), list(_cells(part, keep, seen)))
+            grid.append((row, spans.last))
     out = before.done()
-    widths: list[int] = []
-    for cells in grid:
-        for k, lines in enumerate(cells):
-            width = max(map(_width, lines), default=0)
-            if k == len(widths):
-                widths.append(width)
-            else:
-                widths[k] = max(widths[k], width)
-    for cells in grid:
-        for k in range(max((len(lines) for lines in cells), default=0)):
-            texts = [lines[k] if k < len(lines) else "" for lines in cells]
-            line = " | ".join(x + " " * (widths[i] - _width(x)) for i, x in enumerate(texts))
-            out.append(line.rstrip())
-    return out
+    lines = _aligned(grid)
+    if lines is None:
+        lines = []
+        for row, _ in grid:
+            full = [x for _, x, _, _ in row if x]
+            if len(full) == 1 or any(len(x) > 1 for x in full):
+                lines += [line for x in full for line in x]
+            elif full:
+                lines.append(" | ".join(x[0] for x in full))
+    return out + lines
 
 
 def _title(root: Node) -> str | None:
@@ -416,8 +467,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     Blocks begin lines; paragraphs, headings, lists and tables have a blank line around them; list items are
     marked and indented; cells are aligned in columns, spans counted and wide characters as two. What stands in a table outside its rows comes before them. White space is collapsed except in ``pre`` and ``textarea``.
 
-    Null html: null text and title. Empty html: empty text. Text without any tag is itself. Pages are rendered one by one, so memory
-    is bounded by the longest page, of any length. Repeated rows are rendered each; ids may be null. Other columns, whatever their names, are
+    Null html: null text and title. Empty html: empty text. Text without any tag is itself. Pages are rendered one by one, and tables whose aligned form would be
+    out of proportion are not aligned (``_aligned``), so memory is bounded by some twenty times the longest page, of any length. Repeated rows are rendered each; ids may be null. Other columns, whatever their names, are
     ignored. No rows: no rows.
     """
 

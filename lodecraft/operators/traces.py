@@ -47,7 +47,7 @@ def episodes(events: DataFrame, max_steps: int, max_tools: int, max_seconds: flo
     """Each trace's actions replayed against a budget: (trace_id, steps, tool_calls, invalid_actions, python_seconds, reason).
 
     A fold over the trace's events in order. A final action ends the episode. A tool call over the tool budget is an invalid
-    action instead. After each action, reached step or Python limits end the episode; what follows is ignored. A trace is
+    action instead; a termination event cancels the episode. After each action, reached step or Python limits end the episode; what follows is ignored. A trace is
     one array, bounded by the length of an episode.
     """
     event = F.struct("sequence", "kind", F.col("seconds").cast("double").alias("seconds"))
@@ -62,7 +62,7 @@ def episodes(events: DataFrame, max_steps: int, max_tools: int, max_seconds: flo
         steps = s["steps"] + F.when(live & is_step, 1).otherwise(0)
         seconds = F.round(s["python_seconds"] + F.when(live & (e["kind"] == "tool_result"), e["seconds"]).otherwise(0.0), 6)
         acted = is_step | (e["kind"] == "tool_result")
-        reason = F.when(~live, s["reason"]).when(e["kind"] == "final", "final").when(acted & (steps >= max_steps), "max_steps").when(acted & (seconds > 0) & (seconds >= max_seconds), "python_time_budget")
+        reason = F.when(~live, s["reason"]).when(e["kind"] == "final", "final").when(e["kind"] == "termination", "cancelled").when(acted & (steps >= max_steps), "max_steps").when(acted & (seconds > 0) & (seconds >= max_seconds), "python_time_budget")
         return F.struct(steps.cast("long").alias("steps"), (s["tool_calls"] + F.when(live & (e["kind"] == "tool_call") & ~refused, 1).otherwise(0)).cast("long").alias("tool_calls"), (s["invalid_actions"] + F.when(live & invalid, 1).otherwise(0)).cast("long").alias("invalid_actions"), seconds.alias("python_seconds"), reason.alias("reason"))
 
     return ordered.select("trace_id", F.aggregate("e", start, step).alias("s")).select("trace_id", "s.*")

@@ -6,10 +6,12 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir
+from ..storage import own_dir
+from ..streaming import episodes as E
 from ..streaming import traces as S
+from .evaluation import _EPISODE
 from .registry import query
-from .views import table
+from .views import table, traces
 
 
 def _events(spark, d):
@@ -20,7 +22,7 @@ def _events(spark, d):
 @query("stream_window_counts", "SELECT CAST(time_bucket(INTERVAL 1 DAY, ts) AS TIMESTAMP) AS start, event_type AS key, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark, d):
     stream = _events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    base = f"{shared_dir(spark)}/lodecraft/stream-{uuid4().hex}"
+    base = f"{own_dir(spark)}/stream-{uuid4().hex}"
     counts = S.windowed_counts(stream, "ts", "0 seconds", "1 day", None, F.col("event_type")).select("start", "key", "n")
 
     def keep(batch, number):
@@ -35,8 +37,22 @@ def _(spark, d):
 
 @query("stream_journal", "SELECT event_id, user_id, event_type FROM events")
 def _(spark, d):
-    base = f"{shared_dir(spark)}/lodecraft/journal-{uuid4().hex}"
+    base = f"{own_dir(spark)}/journal-{uuid4().hex}"
     stream = _events(spark, d).select("event_id", "user_id", "event_type")
     for _ in range(2):  # the second run finds nothing new
-        S.append_journal(stream, f"{base}/rows", f"{base}/check", ["event_id"]).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+        S.append_journal(stream, f"{base}/journal", f"{base}/check", ["event_id"], {"table": "events"}).awaitTermination()
+    return S.read_journal(spark, f"{base}/journal", stream.schema)
+
+
+@query("stream_episodes", _EPISODE.format(tools=1, steps=2, seconds=0.5))
+def _(spark, d):
+    """The fold of recorded episodes, as keyed state of a stream that is stopped after each file and started again from its checkpoint."""
+    base = f"{own_dir(spark)}/episodes-{uuid4().hex}"
+    times = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    recorded = traces(spark, d).join(times, "event_id").select("trace_id", F.col("sequence").cast("long").alias("sequence"), "kind", "seconds", "ts")
+    for part in range(3):  # in three deliveries that cut through traces
+        recorded.where(F.pmod(F.col("sequence") + F.col("trace_id"), F.lit(3)) == part).write.mode("append").parquet(f"{base}/events")
+        stream = S.read_events(spark, f"{base}/events", recorded.schema, 2)
+        E.run(E.episodes(stream, 2, 1, 0.5, late="3650 days"), f"{base}/out", f"{base}/check").awaitTermination()
+    out = E.latest(spark.read.schema(f"{E.EPISODE}, batch long").parquet(f"{base}/out"))
+    return out.select("trace_id", "steps", "tool_calls", "invalid_actions", "python_seconds", "reason")

@@ -6,11 +6,15 @@ an extension of this library.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.traces import usage_columns
+from ..sources import files
+from ..storage import file_system
 
 
 def read_events(spark: SparkSession, path: str, schema: StructType | str, per_trigger: int | None = None) -> DataFrame:
@@ -21,22 +25,36 @@ def read_events(spark: SparkSession, path: str, schema: StructType | str, per_tr
     return reader.parquet(path)
 
 
-def append_journal(stream: DataFrame, journal: str, checkpoint: str, keys: list[str]):
-    """Append rows whose keys the journal does not hold, then stop; started again, it goes on where it stopped.
+def append_journal(stream: DataFrame, journal: str, checkpoint: str, keys: list[str], manifest: Mapping | None = None):
+    """Append rows whose keys have not come before, then stop; started again, it goes on where it stopped.
 
-    Each micro-batch drops its own repeated keys and anti-joins the journal, so a batch that is run again after a
-    failure adds nothing twice.
+    Which keys have come is the stream's own keyed state, so a micro-batch looks up its own keys and reads nothing of the journal, however long that has grown. Each batch is one folder,
+    overwritten if the batch is run again after a failure. A journal belongs to one manifest (``sources.journal``) and to the checkpoint that began it: another
+    manifest, or rows without their checkpoint, is an error.
     """
+    spark = stream.sparkSession
+    own, manifest = f"{journal}/run_manifest.json", files.plain({**(manifest or {}), "checkpoint": checkpoint, "keys": keys})
+    if files.exists(spark, own):
+        if files.read_json(spark, own) != manifest:
+            raise ValueError(f"{journal} belongs to a run with another manifest or checkpoint")
+        if not files.exists(spark, checkpoint) and files.exists(spark, f"{journal}/rows"):
+            raise ValueError(f"{journal} has rows, but its checkpoint {checkpoint} is gone")
+    else:
+        system, where = file_system(spark, journal)
+        system.mkdirs(where)
+        files.write_json(spark, own, manifest)
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{journal}/rows/batch={number}")
+
+    return stream.dropDuplicates(keys).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def add(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(keys)
-        path = spark._jvm.org.apache.hadoop.fs.Path(journal)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            new = new.join(spark.read.schema(batch.schema).parquet(journal).select(*keys), keys, "left_anti")
-        new.write.mode("append").parquet(journal)
 
-    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def read_journal(spark: SparkSession, journal: str, schema: StructType | str) -> DataFrame:
+    """The journal's rows; no batch, no rows."""
+    if not files.exists(spark, f"{journal}/rows"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{journal}/rows")
 
 
 def running_usage(stream: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -193,6 +194,32 @@ def near_pairs(texts: DataFrame, threshold: float = 0.9) -> DataFrame:
 def id_digest(ids: DataFrame, by: str, column: str) -> DataFrame:
     """(by, n, digest): sha256 over the sorted ids of each group, joined by line feeds.
 
-    The digest is over one string a group by definition, so a group is gathered; ids are its only content.
+    Ids are sorted by Spark, which spills, and hashed as they stream past: no group is gathered in memory. A digest over one text is made in its order, so by one task for each group.
+    Null ids are left out, as is a group that has no others.
     """
-    return ids.groupBy(by).agg(F.count(F.lit(1)).alias("n"), text.sha256_hex(F.array_join(F.array_sort(F.collect_list(column)), "\n")).alias("digest"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, n, state = None, 0, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([group, pa.array([n], pa.int64()), pa.array([state.hexdigest()])], [by, "n", "digest"])
+
+        for batch in batches:
+            owners = batch.column(0).to_pylist()
+            edges = [0, *(i for i in range(1, len(owners)) if owners[i] != owners[i - 1]), len(owners)]
+            for a, b in zip(edges, edges[1:]):
+                if a == b:
+                    continue
+                if n and group[0].as_py() != owners[a]:
+                    yield done()
+                    n = 0
+                if not n:
+                    group, state = batch.column(0).slice(a, 1), hashlib.sha256()
+                text_ = "\n".join(batch.column(1).slice(a, b - a).to_pylist())
+                state.update((("\n" if n else "") + text_).encode())
+                n += b - a
+        if n:
+            yield done()
+
+    kept = ids.select(by, F.col(column).cast("string").alias("id")).where("id is not null")
+    return kept.repartition(by).sortWithinPartitions(by, "id").mapInArrow(run, f"{by} {dict(ids.dtypes)[by]}, n long, digest string")

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 # Statuses, and resamples with the order statistics of a 95 % interval.
 STATUSES = ("correct", "incorrect", "invalid_prediction", "invalid_reference", "timeout", "internal_error")
 RESAMPLES = 10_000
@@ -13,9 +19,11 @@ RESAMPLES = 10_000
 def arm_summary(rows: DataFrame) -> DataFrame:
     """Counts by status, accuracy, token and latency statistics of each arm; a batch's time counts once."""
     counts = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in STATUSES]
-    main = rows.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), *counts, F.round(F.avg(F.col("correct").cast("double")), 9).alias("accuracy"), F.round(F.count_if(F.col("status").isin("correct", "incorrect")) / F.count(F.lit(1)), 9).alias("valid_rate"), F.round(F.avg("output_tokens"), 9).alias("mean_tokens"), F.percentile("output_tokens", 0.5).alias("median_tokens"), F.round(F.percentile("latency_ms", 0.5), 9).alias("p50_ms"), F.round(F.percentile("latency_ms", 0.95), 9).alias("p95_ms"), F.sum("output_tokens").cast("long").alias("tokens"))
+    main = rows.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), *counts, F.round(F.avg(F.col("correct").cast("double")), 9).alias("accuracy"), F.round(F.count_if(F.col("status").isin("correct", "incorrect")) / F.count(F.lit(1)), 9).alias("valid_rate"), F.round(F.avg("output_tokens"), 9).alias("mean_tokens"), F.sum("output_tokens").cast("long").alias("tokens"))
+    places = quantiles(rows, ["arm"], {"median_tokens": ("output_tokens", 0.5), "p50_ms": ("latency_ms", 0.5), "p95_ms": ("latency_ms", 0.95)})
     batches = rows.groupBy("arm", "batch").agg(F.max("latency_ms").alias("ms")).groupBy("arm").agg(F.round(F.sum("ms") / 1000, 6).alias("elapsed_s"))
-    return main.join(batches, "arm").withColumn("tokens_per_s", F.round(F.col("tokens") / F.col("elapsed_s"), 6))
+    out = main.join(places, "arm").join(batches, "arm").withColumn("tokens_per_s", F.round(F.col("tokens") / F.col("elapsed_s"), 6))
+    return out.withColumns({c: F.round(c, 9) for c in ("p50_ms", "p95_ms")})
 
 
 def paired(rows: DataFrame) -> DataFrame:
@@ -26,16 +34,23 @@ def paired(rows: DataFrame) -> DataFrame:
 
 
 def mcnemar(improved: Column, regressed: Column) -> Column:
-    """Exact two-sided p: min(1, 2 * sum of C(d, k) / 2^d up to the smaller count), summed through logarithms."""
-    n, k = (improved + regressed).cast("int"), F.least(improved, regressed).cast("int")
-    start = F.struct((-n * F.log(F.lit(2.0))).alias("term"), F.exp(-n * F.log(F.lit(2.0))).alias("sum"))
+    """Exact two-sided p: min(1, 2 * sum of C(d, k) / 2^d up to the smaller count).
+
+    Terms are summed downwards from the last until they no longer matter, some multiple of the root of d.
+    """
+
+    @F.pandas_udf("double")
+    def p(up: pd.Series, down: pd.Series) -> pd.Series:
+        def one(b: int, c: int) -> float:
+            d, last = b + c, min(b, c)
+            k = np.arange(last, max(-1, last - 60 - int(40 * math.sqrt(d))), -1, dtype=float)
+            first = math.lgamma(d + 1) - math.lgamma(last + 1) - math.lgamma(d - last + 1) - d * math.log(2)
+            ratios = np.concatenate([[0.0], np.log(k[:-1]) - np.log(d - k[:-1] + 1)])
+            return min(1.0, 2 * float(np.exp(first + np.cumsum(ratios)).sum()))
 
-    def step(s: Column, i: Column) -> Column:
-        term = s["term"] + F.log((n - i + 1) / i.cast("double"))
-        return F.struct(term.alias("term"), (s["sum"] + F.exp(term)).alias("sum"))
+        return pd.Series([one(int(b), int(c)) for b, c in zip(up, down)], dtype=float)
 
-    total = F.when(k > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), start, step)["sum"]).otherwise(F.exp(-n * F.log(F.lit(2.0))))
-    return F.round(F.least(F.lit(1.0), F.lit(2.0) * total), 9)
+    return F.round(p(improved, regressed), 9)
 
 
 def draw(b: Column, j: Column, n: int, seed: int) -> Column:

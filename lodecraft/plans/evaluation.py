@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rewards as R
 from ..operators import evaluation as E
 from ..operators import traces as T
+from ..operators.quantiles import quantiles
 from .registry import query
 from .views import MESSAGES, PREDICTIONS, ROLLOUTS, TRACES, messages, predictions, rollouts, table, traces
 
@@ -25,7 +26,8 @@ def _(spark, d):
 
 @query("percentile_exact", "SELECT lang, round(quantile_cont(n_chars, 0.25), 6) AS p25, round(quantile_cont(n_chars, 0.9), 6) AS p90 FROM documents GROUP BY 1")
 def _(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(F.round(F.percentile("n_chars", 0.25), 6).alias("p25"), F.round(F.percentile("n_chars", 0.9), 6).alias("p90"))
+    found = quantiles(table(spark, d, "documents"), ["lang"], {"p25": ("n_chars", 0.25), "p90": ("n_chars", 0.9)})
+    return found.select("lang", F.round("p25", 6).alias("p25"), F.round("p90", 6).alias("p90"))
 
 
 @query("paired_outcomes", f"{PAIRED} SELECT task_id, base, sft, outcome FROM outcomes")

@@ -54,7 +54,8 @@ def read_journal(spark: SparkSession, journal: str, schema: StructType | str) ->
     """The journal's rows; no batch, no rows."""
     if not files.exists(spark, f"{journal}/rows"):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{journal}/rows")
+    rows = spark.read.schema(schema).parquet(f"{journal}/rows")
+    return rows.drop("batch") if "batch" not in spark.createDataFrame([], schema).columns else rows
 
 
 def running_usage(stream: DataFrame) -> DataFrame:

@@ -37,13 +37,17 @@ class Plan:
     ``radius`` = 2 * chunks - 1 places have, by the pigeonhole principle, a chunk with at most one error; each
     chunk is indexed under every way to leave one of its places out, so they meet in a bucket for certain. Pairs further
     apart meet when their errors fall well; ``chunks`` is the smallest number with which a pair exactly at the
-    threshold meets nowhere with probability under ``miss``. Pairs further apart than ``cutoff`` places (six standard
-    deviations over the threshold's mean) are not confirmed.
+    threshold meets nowhere with probability under ``miss``. What meets is judged exactly: by sizes and parities (``may_be_close``), which
+    only turn away pairs that cannot be similar enough, then by whole sets.
+
+    ``exact`` finds every pair: instead of chunks, the index holds the (100 - per_cent) per cent of each set's shingles, and one more, that are least by hash. Two sets
+    that are similar enough share one of those for certain (all sets being in one order, what they share cannot lie in the rests alone). That is several times as many keys.
     """
 
     n: int = 5
     per_cent: int = 80
     miss: float = 5e-5
+    exact: bool = False
 
     @property
     def chunks(self) -> int:
@@ -59,11 +63,6 @@ class Plan:
     def radius(self) -> int:
         return 2 * self.chunks - 1
 
-    @property
-    def cutoff(self) -> int:
-        t = self.per_cent / 100
-        return max(self.radius, math.ceil(self.places * (1 - t) + 6 * math.sqrt(self.places * t * (1 - t))))
-
 
 def _hash_family(k: int) -> tuple[np.ndarray, np.ndarray]:
     seeds = mix(np.arange(1, 2 * k + 1, dtype=_U) * _U(0x632BE59BD9B4E019))
@@ -79,30 +78,61 @@ def signature(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> by
     return (mix(least) & _U(255)).astype(np.uint8).tobytes()
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """The size of a set, then for each of 2 to 4 times as many bits (a power of 2) whether an odd number of shingles falls on it."""
+    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return len(shingles).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_close(one: bytes, other: bytes, per_cent: int) -> bool:
+    """Whether two sets can have the similarity, by their ``parities``: false only if they cannot.
+
+    The sum of two parities is that of the shingles in one set only, so each odd bit stands for such a shingle at least; at the threshold there are at most
+    (100 - per_cent) / (100 + per_cent) times the sizes' sum of them. The longer parities are folded to the length of the shorter.
+    """
+    n, m = int.from_bytes(one[:8], "little"), int.from_bytes(other[:8], "little")
+    if 100 * min(n, m) < per_cent * max(n, m):
+        return False
+    a, b = np.frombuffer(one, _U, offset=8), np.frombuffer(other, _U, offset=8)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) * (100 + per_cent) <= (n + m) * (100 - per_cent)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFrame:
-    """(doc_id, n_shingles, set_hash binary, sig binary) of each row; the last two are null where the set is empty."""
+    """(doc_id, n_shingles, set_hash, sig, probe) of each row; the last three, binary, are null where the set is empty. ``probe``: ``parities``."""
     n, k = plan.n, plan.places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = _hash_family(k)
         for batch in batches:
-            size, digest, sig = [0] * len(batch), [None] * len(batch), [None] * len(batch)
+            size, digest, sig, probe = [0] * len(batch), [None] * len(batch), [None] * len(batch), [None] * len(batch)
             for block in blocks(batch.column(1)):
                 for row, s in shingle_sets(block, n):
                     size[row] = len(s)
                     if len(s):
                         digest[row] = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                        sig[row] = signature(s, family)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "set_hash", "sig"])
+                        sig[row] = s[: len(s) + 1 + -plan.per_cent * len(s) // 100].tobytes() if plan.exact else signature(s, family)
+                        probe[row] = parities(s)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), *(pa.array(x, pa.binary()) for x in (digest, sig, probe))], ["doc_id", "n_shingles", "set_hash", "sig", "probe"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sig binary")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, sig binary, probe binary")
 
 
 def index_keys(classes: DataFrame, plan: Plan) -> DataFrame:
-    """(key, rid): each chunk of each signature, with each of its places left out in turn."""
+    """(key, rid): each chunk of each signature, with each of its places left out in turn; or each shingle of an exact plan's signature."""
     m = plan.chunks
 
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.array([len(x) // 8 for x in batch.column(1).to_pylist()], np.int64)
+            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes))], ["key", "rid"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = ~(_U(255) << (_U(8) * np.arange(WIDTH, dtype=_U)))
         salt = mix(np.arange(1, m * WIDTH + 1, dtype=_U)).reshape(m, WIDTH)
@@ -114,7 +144,7 @@ def index_keys(classes: DataFrame, plan: Plan) -> DataFrame:
                 keys = mix((chunk[:, :, None] & kept) ^ salt).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(rid, m * WIDTH))], ["key", "rid"])
 
-    return classes.select("rid", "sig").mapInArrow(run, "key long, rid long")
+    return classes.select("rid", "sig").mapInArrow(prefixes if plan.exact else run, "key long, rid long")
 
 
 def shingle_arrays(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, plan: Plan) -> DataFrame:
@@ -146,17 +176,15 @@ def _ends(pairs: DataFrame, table: DataFrame, column: str, limit: int | None) ->
 
 
 def _within(pairs: DataFrame, classes: DataFrame, plan: Plan, limit: int | None) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most ``cutoff`` places."""
-    cutoff, places = plan.cutoff, plan.places
+    """The pairs (a, b) whose sets may be similar enough; an id that stands for several classes may always be."""
+    per_cent = plan.per_cent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, places) for k in (2, 3))
-                near = pa.array(np.count_nonzero(x != y, axis=1) <= cutoff)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
+            near = pa.array([x is None or y is None or may_be_close(x, y, per_cent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], ["a", "b"])
 
-    return _ends(pairs, classes, "sig", limit).mapInArrow(run, "a long, b long")
+    return _ends(pairs, classes, "probe", limit).mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan, limit: int | None) -> DataFrame:
@@ -288,10 +316,11 @@ def _labelled(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> tuple[
     spark = docs.sparkSession
     base = materialise(signatures(docs, id_col, text_col, plan).withColumn("row", F.monotonically_increasing_id()), "signatures")
     some = base.where("set_hash is not null and doc_id is not null")
-    classes = materialise(some.groupBy("set_hash").agg(F.min("doc_id").alias("rid"), F.min("sig").alias("sig"), F.max("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies")), "classes")
-    by_rid = classes.groupBy("rid").agg(F.min("sig").alias("sig"), F.max("size").alias("size"))  # an id with several texts may stand for several classes
+    classes = materialise(some.groupBy("set_hash").agg(F.min("doc_id").alias("rid"), F.min("sig").alias("sig"), F.min("probe").alias("probe"), F.max("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies")), "classes")
+    one = F.count(F.lit(1)) == 1  # an id with several texts may stand for several classes
+    by_rid = classes.groupBy("rid").agg(F.when(one, F.min("probe")).alias("probe"), F.max("size").alias("size"))
     keys = index_keys(classes, plan)
-    limit = hot_limit(classes.count() * plan.places, spark)
+    limit = hot_limit((classes.agg(F.sum(F.octet_length("sig"))).first()[0] or 0) // 8 * (1 if plan.exact else WIDTH), spark)
     shared = materialise(keys.groupBy("key").agg(F.min("rid").alias("hub"), F.max("rid").alias("hi"), F.count(F.lit(1)).alias("n")).where("hub < hi"), "shared")
     crowds = shared.where("n > 2").select("key", "hub", "n")
     members = materialise(join_counted(keys, crowds, ["key"], F.col("rid"), "n", limit).select("key", "rid", "hub", "n"), "members")

@@ -56,6 +56,30 @@ def test_equals_brute_force(make_docs, n, per_cent):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == brute(dict(enumerate(texts)), n, per_cent)
 
 
+@pytest.mark.parametrize(("n", "per_cent"), [(3, 85), (5, 80), (1, 50), (2, 100)])
+def test_exact_plans_equal_brute_force(make_docs, n, per_cent):
+    texts = corpus(8, 110)
+    found = neardup.near_duplicates(make_docs(texts), neardup.Plan(n=n, per_cent=per_cent, exact=True)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found} == brute(dict(enumerate(texts)), n, per_cent)
+
+
+@pytest.mark.parametrize("per_cent", [50, 80, 85, 100])
+def test_parities_never_turn_away_a_similar_pair(per_cent):
+    rng = np.random.default_rng(per_cent)
+    turned = 0
+    for _ in range(1500):
+        n = int(rng.integers(1, 400))
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate([a[: int(rng.integers(0, n + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, n))).astype(np.uint64)])
+        if len(b):
+            common = len(np.intersect1d(a, b))
+            similar = 100 * common >= per_cent * (len(np.union1d(a, b)))
+            may = neardup.may_be_close(neardup.parities(np.unique(a)), neardup.parities(np.unique(b)), per_cent)
+            assert may or not similar
+            turned += not may
+    assert turned > 300
+
+
 def test_large_buckets_are_compared_by_blocks(make_docs, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", 4)
     monkeypatch.setattr(neardup, "SIDE", 900)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import corpus, sft, similar
+from ..operators import corpus, sft, similar, tokenize
 from ..sources.tasks import flatten, read_tasks, write_quarantine, write_tasks
 from .corpus import _NEAR, tasks, winners
 from .registry import query
@@ -178,6 +178,15 @@ def _(spark, d):
     return m.select("conv_id", F.size("mask").cast("long").alias("mask_length"), ((F.size("mask") > 0) & (F.size("mask") == F.aggregate("sizes", F.lit(0), lambda a, x: a + x))).alias("ok"))
 
 
+@query("prefix_tokens")
+def _(spark, d):
+    """Tokens, trained tokens and the messages' ends of each conversation; no SQL has the tokenizer, tests compare with encoding every prefix."""
+    import public_tokenizers
+
+    rows = tokenize.tokenize(table(spark, d, "conversations"), public_tokenizers.path("byte_bpe_50k.json"), 16384)
+    return rows.select("conv_id", F.size("input_ids").cast("long").alias("tokens"), F.aggregate("assistant_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("trained"), F.col("spans.end").alias("ends"), "error")
+
+
 @query("pad_batch", "WITH s AS (SELECT doc_id, (doc_id % 7 + 1) AS n FROM documents), b AS (SELECT doc_id // 8 AS batch, max(n) AS most FROM s GROUP BY 1) SELECT doc_id, list_concat(range(0, n), list_transform(range(n, most), lambda x: -1)) AS ids FROM s JOIN b ON batch = doc_id // 8")
 def _(spark, d):
     s = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 7 + 1).alias("n"), F.floor(F.col("doc_id") / 8).alias("batch"))

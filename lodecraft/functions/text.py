@@ -94,11 +94,8 @@ def utf8_truncate(text: Column, limit: int) -> Column:
     return F.when(size <= limit, text).otherwise(F.substring(raw, F.lit(1), cut).cast("string"))
 
 
-def normalize_surface(canonical: Column, rounds: int = 4) -> Column:
-    """Canonical text with U+2212 as ``-``, one spelling of fractions and outer math delimiters removed.
-
-    ``rounds`` delimiters are removed natively; deeper ones are rare and handled by ``answers.surface``.
-    """
+def normalize_surface(canonical: Column) -> Column:
+    """Canonical text with U+2212 as ``-``, one spelling of fractions and outer math delimiters removed, however deep: a round for each that the text holds."""
     out = F.regexp_replace(F.translate(canonical, "\u2212", "-"), r"\\[dt]frac\b", r"\\\\frac")
 
     def strip(x: Column) -> Column:
@@ -110,4 +107,5 @@ def normalize_surface(canonical: Column, rounds: int = 4) -> Column:
             cases = F.when(hit, inner) if cases is None else cases.when(hit, inner)
         return cases.otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), out, lambda x, _: strip(x))
+    rounds = F.greatest(F.lit(1), F.regexp_count(canonical, F.lit(r"\\[\[(]|\$")))
+    return F.when(F.length(canonical) > 0, F.aggregate(F.sequence(F.lit(1), rounds), out, lambda x, _: strip(x))).otherwise(canonical)

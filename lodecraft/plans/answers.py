@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import answers as A
-from ..functions import text
+from ..functions import tables, text
 from .registry import query
 from .views import ANSWERS, NUMBERS, answers, numbers, table
 
@@ -14,6 +14,7 @@ def _distinct(spark, d):
     return answers(spark, d).select("raw", "reference").distinct()
 
 
+_PAIRS = f"WITH {ANSWERS}, v AS (SELECT DISTINCT q, n FROM answers)"
 _D = f"WITH {ANSWERS}, v AS (SELECT DISTINCT raw, reference FROM answers)"
 
 
@@ -58,6 +59,29 @@ def _(spark, d):
     return _distinct(spark, d).select("raw").distinct().select("raw", A.dollar_spans(F.col("raw")).alias("groups"))
 
 
+@query("boxed_groups_table", f"""WITH {ANSWERS}, v AS (SELECT DISTINCT q, n FROM answers)
+SELECT q, n, 0 AS place, CAST(q AS VARCHAR) AS value FROM v UNION ALL SELECT q, n, 1, '\\frac{{' || q || '}}{{' || n || '}}' FROM v WHERE n % 2 = 0 UNION ALL SELECT q, n, CASE WHEN n % 2 = 0 THEN 2 ELSE 1 END, CAST(n AS VARCHAR) FROM v""")
+def _(spark, d):
+    """One row for each boxed group, through the table function in SQL."""
+    tables.register_all(spark)
+    q, n = F.col("q").cast("string"), F.col("n").cast("string")
+    nested = F.when(F.col("n") % 2 == 0, F.concat(F.lit(" or \\boxed{\\frac{"), q, F.lit("}{"), n, F.lit("}}"))).otherwise(F.lit(" or \\boxed{"))
+    texts = answers(spark, d).select("q", "n").distinct().select("q", "n", F.concat(F.lit("\\boxed{"), q, F.lit("}"), F.when(F.col("n") % 2 == 0, nested).otherwise(F.lit("")), F.lit(" and \\\\boxed {"), n, F.lit("}")).alias("raw"))
+    return spark.sql("SELECT q, n, place, value FROM {texts}, LATERAL answer_groups(raw, 'boxed')", texts=texts)
+
+
+@query("nested_items_table", f"""{_PAIRS}, i AS (
+  SELECT q, n, '' AS path, 0 AS depth, 'tuple' AS kind, '({{' || CASE WHEN q = n THEN CAST(q AS VARCHAR) ELSE least(CAST(q AS VARCHAR), CAST(n AS VARCHAR)) || ', ' || greatest(CAST(q AS VARCHAR), CAST(n AS VARCHAR)) END || '}}, ' || n || ')' AS value FROM v
+  UNION ALL SELECT q, n, '0', 1, 'set', '{{' || CASE WHEN q = n THEN CAST(q AS VARCHAR) ELSE least(CAST(q AS VARCHAR), CAST(n AS VARCHAR)) || ', ' || greatest(CAST(q AS VARCHAR), CAST(n AS VARCHAR)) END || '}}' FROM v
+  UNION ALL SELECT q, n, '0.0', 2, 'number', CAST(q AS VARCHAR) FROM v UNION ALL SELECT q, n, '0.1', 2, 'number', CAST(n AS VARCHAR) FROM v UNION ALL SELECT q, n, '1', 1, 'number', CAST(n AS VARCHAR) FROM v)
+SELECT * FROM i""")
+def _(spark, d):
+    """A tuple of a set and a number, item by item, through the table function in SQL."""
+    tables.register_all(spark)
+    texts = _pairs(spark, d).select("q", "n", F.format_string("( {%d , %d}, %d)", "q", "n", "n").alias("raw"))
+    return spark.sql("SELECT q, n, path, depth, kind, value FROM {texts}, LATERAL answer_items(raw)", texts=texts)
+
+
 @query("extract_solution", f"""{ANSWERS and "WITH " + ANSWERS}, v AS (SELECT DISTINCT q, n FROM answers)
 SELECT q, n, 'ok' AS status, CAST(CASE WHEN n % 2 = 0 THEN q ELSE n END AS VARCHAR) AS value, CASE WHEN n % 2 = 0 THEN 'prose_anchor' ELSE 'last_boxed' END AS method FROM v""")
 def _(spark, d):
@@ -117,7 +141,6 @@ def _pairs(spark, d):
     return answers(spark, d).select("q", "n").distinct()
 
 
-_PAIRS = f"WITH {ANSWERS}, v AS (SELECT DISTINCT q, n FROM answers)"
 
 
 @query("parse_flat_set", f"{_PAIRS} SELECT q, n, CAST([CAST(q AS VARCHAR), CAST(n AS VARCHAR), CAST(q AS VARCHAR)] AS VARCHAR[]) AS items FROM v")

@@ -223,3 +223,18 @@ def id_digest(ids: DataFrame, by: str, column: str) -> DataFrame:
 
     kept = ids.select(by, F.col(column).cast("string").alias("id")).where("id is not null")
     return kept.repartition(by).sortWithinPartitions(by, "id").mapInArrow(run, f"{by} {dict(ids.dtypes)[by]}, n long, digest string")
+
+
+def audit_splits(rows: DataFrame, kind: str = "integer") -> DataFrame:
+    """(split, n, digest, repeated, across, leaked, unverifiable) of rows (split, task_id, reference_value).
+
+    ``repeated``: rows beyond the first of an id within the split; ``across``: rows whose id is in other splits as well; ``leaked``: held-out rows whose id is in
+    another split; ``unverifiable``: references that do not verify against themselves as ``kind``. One row for each id is made first, so no split is gathered.
+    """
+    good = answers.self_verifies(F.col("reference_value"), F.lit(kind))
+    marked = rows.select("task_id", "split", F.coalesce(good, F.lit(False)).alias("good"))
+    ids = marked.groupBy("task_id", "split").agg(F.count(F.lit(1)).alias("c"), F.count_if(~F.col("good")).alias("bad"))
+    per_id = ids.groupBy("task_id").agg(F.collect_list(F.struct("split", "c", "bad")).alias("in"))  # at most one for each split
+    each = per_id.select(F.explode("in").alias("x"), (F.size("in") > 1).alias("shared"))
+    sums = each.groupBy("x.split").agg(F.sum("x.c").alias("n"), F.sum(F.col("x.c") - 1).alias("repeated"), F.sum(F.when(F.col("shared"), F.col("x.c")).otherwise(0)).alias("across"), F.sum(F.when(F.col("shared") & (F.col("x.split") == "frozen_eval"), F.col("x.c")).otherwise(0)).alias("leaked"), F.sum("x.bad").alias("unverifiable"))
+    return sums.join(id_digest(rows, "split", "task_id").drop("n"), "split").select("split", "n", "digest", "repeated", "across", "leaked", "unverifiable")

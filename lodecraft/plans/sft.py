@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import corpus, sft, similar, tokenize
+from ..storage import materialise, new_path
 from ..sources.tasks import flatten, read_tasks, write_quarantine, write_tasks
 from .corpus import _NEAR, tasks, winners
 from .registry import query
-from .views import CANON, KEPT, MESSAGES, RECORDS, TRACES, messages, records, table, traces
+from .views import CANON, KEPT, MESSAGES, RECORDS, SPLITS, TRACES, messages, records, table, traces
 
 
 # Greedy in the order of content keys: one step of the recursion is one task's turn, over the tasks that have a near one.
@@ -127,6 +128,35 @@ def _(spark, d):
     return sft.first_accepted(t, "content_key", order, F.col("row_id") % 5 != 0, F.floor(F.col("row_id") / 64)).select("dataset", "row_id", "outcome")
 
 
+@query("materialise_batches", f"WITH {KEPT}, r AS (SELECT content_key, dataset, row_id, row_id % 4 AS batch, row_id % 5 <> 0 AS ok FROM tasks), f AS (SELECT *, row_number() OVER (PARTITION BY content_key ORDER BY ok DESC, batch, dataset || ':' || row_id) AS k FROM r) SELECT dataset, row_id, batch, CASE WHEN NOT ok THEN 'rejected' WHEN k = 1 THEN 'accepted' ELSE 'duplicate_task' END AS outcome FROM f")
+def _(spark, d):
+    """Solutions that come in four batches, each judged against the accepted keys of those before; the second is added twice."""
+    t = materialise(tasks(spark, d).select("content_key", "dataset", "row_id"), "solutions")
+    t = t.withColumn("place", F.concat(F.col("dataset"), F.lit(":"), F.col("row_id").cast("string"))).withColumn("ok", F.col("row_id") % 5 != 0)
+    batches = sft.Batches(spark, new_path(spark, "batches"), "content_key", "place", "ok")
+    for n in (0, 1, 1, 2, 3):
+        batches.add(t.where(F.col("row_id") % 4 == n), n)
+    return batches.outcomes().select("dataset", "row_id", F.col("batch").cast("long").alias("batch"), "outcome")
+
+
+@query("dedup_totals", _GREEDY[: _GREEDY.rindex("SELECT task_id, dataset, content_key")] + "SELECT (SELECT count(*) FROM tasks) AS tasks, (SELECT count(*) FROM tasks) - count(*) AS exact_removed, count(*) FILTER (list_contains((SELECT gone FROM done), task_id)) AS near_removed, count(*) FILTER (NOT list_contains((SELECT gone FROM done), task_id)) AS unique_tasks FROM winners")
+def _(spark, d):
+    """The manifest's counters of removed duplicates, near ones included."""
+    kept = materialise(winners(spark, d, ["canonical"]), "kept")
+    left = similar.near_dedup(kept).agg(F.count(F.lit(1)).alias("unique_tasks"))
+    sums = kept.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("tasks"), F.count(F.lit(1)).alias("w")).join(left)  # two rows of aggregates
+    return sums.select("tasks", (F.col("tasks") - F.col("w")).alias("exact_removed"), (F.col("w") - F.col("unique_tasks")).alias("near_removed"), "unique_tasks")
+
+
+@query("split_audit_full", f"""WITH {SPLITS}, s AS (SELECT x.split, x.task_id, w.answer FROM splits x JOIN winners w USING (task_id)), c AS (SELECT task_id, count(DISTINCT split) AS splits, bool_or(split <> 'frozen_eval') AS pool FROM s GROUP BY 1)
+SELECT split, count(*) AS n, sha256(string_agg(task_id, chr(10) ORDER BY task_id)) AS digest, count(*) - count(DISTINCT task_id) AS repeated, count(*) FILTER (c.splits > 1) AS across, count(*) FILTER (split = 'frozen_eval' AND c.pool) AS leaked, count(*) FILTER (NOT regexp_full_match(answer, '[+-]?[0-9]+')) AS unverifiable FROM s JOIN c USING (task_id) GROUP BY 1""")
+def _(spark, d):
+    """Each split's digest, repeated and shared ids, leaks of held-out tasks, and references that do not verify against themselves."""
+    kept = materialise(winners(spark, d, ["reference_value"]), "kept")
+    rows = corpus.assign_splits(kept).join(kept.select("task_id", "reference_value"), "task_id")
+    return corpus.audit_splits(rows)
+
+
 @query("sft_behavior", f"WITH {TRACES}, b AS (SELECT trace_id, sum((kind = 'invalid_action')::INTEGER) AS bad, bool_or(kind = 'tool_result') AS py, bool_or(kind = 'tool_call') AS sy FROM traces GROUP BY 1) SELECT trace_id, CASE WHEN bad > 0 THEN 'recovery' WHEN py THEN 'python' WHEN sy THEN 'sympy' ELSE 'direct' END AS behavior FROM b")
 def _(spark, d):
     tool = F.when(F.col("kind") == "tool_result", "python").when(F.col("kind") == "tool_call", "sympy")

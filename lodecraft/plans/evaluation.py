@@ -237,6 +237,23 @@ def _(spark, d):
     return t.select("trace_id", F.array_join("e.kind", ",").alias("actions"), F.size("e").cast("long").alias("n"))
 
 
+@query("trajectory_files", f"WITH {TRACES} SELECT CAST(trace_id AS VARCHAR) AS query, count(*) AS steps, round(sum(seconds), 6) AS total_reward, bool_or(kind = 'final') AS success, string_agg(kind, ',' ORDER BY sequence) AS actions FROM traces GROUP BY 1")
+def _(spark, d):
+    """Trajectories written as lines and read again; steps and rewards are those of their transitions."""
+    from ..sources import older
+    from ..storage import new_path
+
+    step = F.struct("sequence", F.to_json(F.struct("sequence")).alias("state"), F.col("kind").alias("action"), F.to_json(F.struct((F.col("sequence") + 1).alias("sequence"))).alias("next_state"), F.col("seconds").alias("reward"), (F.col("kind") == "final").alias("done"), F.lit(None).cast("string").alias("info"))
+    t = traces(spark, d).groupBy("trace_id").agg(F.array_sort(F.collect_list(step)).alias("s"), F.bool_or(F.col("kind") == "final").alias("success"))
+    steps = F.transform("s", lambda x: F.struct(x["state"].alias("state"), x["action"].alias("action"), x["next_state"].alias("next_state"), x["reward"].alias("reward"), x["done"].alias("done"), x["info"].alias("info")))
+    none = F.lit(None).cast("string")
+    rows = t.select(F.col("trace_id").cast("string").alias("query"), F.lit("direct").alias("route_decision"), steps.alias("transitions"), none.alias("final_answer"), "success", F.lit(99.0).alias("total_reward"), F.lit(99).cast("long").alias("steps"), none.alias("timestamp"), none.alias("metadata"))
+    path = new_path(spark, "trajectories")
+    older.write_trajectories(rows, path)
+    found = older.read_trajectories(spark, path)
+    return found.select("query", "steps", F.round("total_reward", 6).alias("total_reward"), "success", F.array_join("transitions.action", ",").alias("actions"))
+
+
 @query("last_active_success", f"WITH {TRACES} SELECT trace_id, max_by(kind = 'final', sequence) AS won FROM traces WHERE kind <> 'model_output' GROUP BY 1")
 def _(spark, d):
     return traces(spark, d).where("kind <> 'model_output'").groupBy("trace_id").agg(F.max_by(F.col("kind") == "final", "sequence").alias("won"))

@@ -81,3 +81,31 @@ def bootstrap(pairs: DataFrame, resamples: int = RESAMPLES, seed: int = 0) -> Da
     ordered = sums.groupBy().agg(F.array_sort(F.collect_list("s")).alias("s"))  # one number a resample
     at = lambda i: F.round(F.element_at("s", i) / F.lit(n), 9)
     return ordered.select(F.lit(n).cast("long").alias("n"), F.lit(round((up - down) / n, 9)).alias("delta"), at(k).alias("low"), at(resamples - k).alias("high"))
+
+
+def bootstrap_counts(pairs: DataFrame, resamples: int = RESAMPLES, seed: int = 0) -> DataFrame:
+    """(n, delta, low, high) as ``bootstrap`` gives them, by drawing each resample's counts instead of its pairs: the work does not depend on the number of pairs.
+
+    How many of n draws fall on improved pairs is binomial, and how many of the others fall on regressed ones is binomial given that: together the exact multinomial
+    distribution of a resample. Each resample has a generator of its own from (seed, number), so the result does not depend on partitions.
+    """
+    spark = pairs.sparkSession
+    d = F.col("sft").cast("int") - F.col("base").cast("int")
+    n, up, down = pairs.agg(F.count(F.lit(1)), F.count_if(d == 1), F.count_if(d == -1)).first()
+    if not n:
+        return spark.createDataFrame([], "n long, delta double, low double, high double")
+
+    def run(batches):
+        for batch in batches:
+            sums = []
+            for b in batch["id"]:
+                rng = np.random.default_rng((seed, int(b)))
+                better = rng.binomial(n, up / n)
+                worse = rng.binomial(n - better, min(1.0, down / (n - up))) if n > up else 0
+                sums.append(int(better) - int(worse))
+            yield pd.DataFrame({"s": sums}, dtype="int64")
+
+    k = resamples // 40
+    ordered = spark.range(resamples).mapInPandas(run, "s long").groupBy().agg(F.array_sort(F.collect_list("s")).alias("s"))  # one number a resample
+    at = lambda i: F.round(F.element_at("s", i) / F.lit(n), 9)
+    return ordered.select(F.lit(n).cast("long").alias("n"), F.lit(round((up - down) / n, 9)).alias("delta"), at(k).alias("low"), at(resamples - k).alias("high"))

@@ -71,6 +71,12 @@ def _(spark, d):
     return E.bootstrap(E.paired(predictions(spark, d)))
 
 
+@query("bootstrap_ci_counts")
+def _(spark, d):
+    """The interval by counts of each resample; its draws are a generator's, tests hold it against the draw-by-draw form."""
+    return E.bootstrap_counts(E.paired(predictions(spark, d)))
+
+
 @query("resume_anti", f"{P} SELECT arm, task_id FROM predictions WHERE (arm, task_id) NOT IN (SELECT arm, task_id FROM predictions WHERE batch % 2 = 0)")
 def _(spark, d):
     p = predictions(spark, d)

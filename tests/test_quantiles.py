@@ -57,3 +57,16 @@ def test_digest_streams_over_batches(spark):
         ids = sorted(i for k, i in rows if k == s and i is not None)
         assert found[s] == (len(ids), hashlib.sha256("\n".join(ids).encode()).hexdigest())
     assert corpus.id_digest(spark.createDataFrame([], "s string, id string"), "s", "id").collect() == []
+
+
+@pytest.mark.parametrize(("up", "down", "same"), [(30, 10, 60), (0, 0, 5), (7, 0, 0), (0, 9, 1), (400, 380, 1220)])
+def test_bootstrap_by_counts_agrees_with_draws(spark, up, down, same):
+    rows = [(False, True)] * up + [(True, False)] * down + [(True, True)] * same
+    df = spark.createDataFrame(rows, "base boolean, sft boolean")
+    one, other = evaluation.bootstrap(df).first(), evaluation.bootstrap_counts(df).first()
+    n = up + down + same
+    spread = math.sqrt(max((up + down) / n - ((up - down) / n) ** 2, 0) / n)
+    assert (one.n, one.delta) == (other.n, other.delta)
+    assert abs(one.low - other.low) <= 0.12 * spread + 1.01 / n and abs(one.high - other.high) <= 0.12 * spread + 1.01 / n
+    assert evaluation.bootstrap_counts(df.repartition(3)).first() == other
+    assert evaluation.bootstrap_counts(df.limit(0)).collect() == []

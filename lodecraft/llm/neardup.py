@@ -163,8 +163,7 @@ def shingle_arrays(docs: DataFrame, id_col: str, text_col: str, wanted: DataFram
                 yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary())], ["rid", "shingles"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("rid"), F.col(text_col).cast("string").alias("text"))
-    few = wanted.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(wanted) if few else wanted, "rid", "left_semi").mapInArrow(run, "rid long, shingles binary")
+    return _of_ids(rows, wanted).mapInArrow(run, "rid long, shingles binary")
 
 
 def _ends(pairs: DataFrame, table: DataFrame, column: str, limit: int | None) -> DataFrame:
@@ -205,6 +204,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, plan: Plan, limit: int | None)
     return _ends(pairs, sets, "shingles", limit).mapInArrow(run, "a long, b long")
 
 
+def _of_ids(table: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``table`` with one of the ``rid`` in ``ids``: these go to every executor if there are at most ``BROADCAST_IDS`` of them, and then ``table`` is not moved."""
+    return table.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "rid", how)
+
+
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, plan: Plan) -> DataFrame:
     """The confirmed pairs of ``pairs``, which is written."""
     spark = docs.sparkSession
@@ -212,11 +216,14 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, t
     if not n:
         return pairs
     limit = hot_limit(n, spark)
-    near = materialise(_within(pairs, classes, plan, limit), "near")
+    met = materialise(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "met")
+    one = F.count(F.lit(1)) == 1  # an id with several texts may stand for several classes
+    probes = _of_ids(classes.select("rid", "probe"), met).groupBy("rid").agg(F.when(one, F.min("probe")).alias("probe"))
+    near = materialise(_within(pairs, probes, plan, limit), "near")
     ends = materialise(near.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "ends")
     sets = materialise(shingle_arrays(docs, id_col, text_col, ends, plan), "sets")
     links = materialise(_confirmed(near, sets, plan, limit), "links")
-    for used in (pairs, near, ends, sets):
+    for used in (pairs, met, near, ends, sets):
         drop(spark, used)
     return links
 
@@ -317,15 +324,13 @@ def _labelled(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> tuple[
     base = materialise(signatures(docs, id_col, text_col, plan).withColumn("row", F.monotonically_increasing_id()), "signatures")
     some = base.where("set_hash is not null and doc_id is not null")
     classes = materialise(some.groupBy("set_hash").agg(F.min("doc_id").alias("rid"), F.min("sig").alias("sig"), F.min("probe").alias("probe"), F.max("n_shingles").alias("size"), F.count(F.lit(1)).alias("copies")), "classes")
-    one = F.count(F.lit(1)) == 1  # an id with several texts may stand for several classes
-    by_rid = classes.groupBy("rid").agg(F.when(one, F.min("probe")).alias("probe"), F.max("size").alias("size"))
     keys = index_keys(classes, plan)
     limit = hot_limit((classes.agg(F.sum(F.octet_length("sig"))).first()[0] or 0) // 8 * (1 if plan.exact else WIDTH), spark)
     shared = materialise(keys.groupBy("key").agg(F.min("rid").alias("hub"), F.max("rid").alias("hi"), F.count(F.lit(1)).alias("n")).where("hub < hi"), "shared")
     crowds = shared.where("n > 2").select("key", "hub", "n")
     members = materialise(join_counted(keys, crowds, ["key"], F.col("rid"), "n", limit).select("key", "rid", "hub", "n"), "members")
     stars = shared.where("n = 2").select(F.col("hub").alias("a"), F.col("hi").alias("b")).unionAll(members.where("rid <> hub").select(F.col("hub").alias("a"), F.col("rid").alias("b")))
-    links = _links(materialise(stars.distinct(), "stars"), by_rid, docs, id_col, text_col, plan)
+    links = _links(materialise(stars.distinct(), "stars"), classes, docs, id_col, text_col, plan)
     roots = components(links)
     drop(spark, links)
 
@@ -335,10 +340,10 @@ def _labelled(docs: DataFrame, plan: Plan, id_col: str, text_col: str) -> tuple[
     small = mixed.where((F.col("n") <= SMALL) & (F.col("rid") != F.col("hub"))).select("key", "rid", "root")
     x, y = small.select("key", F.col("rid").alias("a"), F.col("root").alias("ra")), small.select("key", F.col("rid").alias("b"), F.col("root").alias("rb"))
     crossing = materialise(x.join(y, "key").where("a < b and ra <> rb").select("a", "b").distinct(), "crossing")
-    more = [_links(crossing, by_rid, docs, id_col, text_col, plan)]
+    more = [_links(crossing, classes, docs, id_col, text_col, plan)]
     big = materialise(mixed.where(F.col("n") > SMALL).select("hub", "rid", "root").distinct(), "big")
     if not big.isEmpty():
-        more.append(_block_links(big, by_rid, docs, id_col, text_col, plan))
+        more.append(_block_links(big, classes.groupBy("rid").agg(F.max("size").alias("size")), docs, id_col, text_col, plan))
     twice = some.groupBy("doc_id").agg(F.min("set_hash").alias("lo"), F.max("set_hash").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("doc_id", "n")
     total = hot_limit(base.count(), spark)
     texts = join_counted(some.select("doc_id", "set_hash", "row"), twice, ["doc_id"], F.col("row"), "n", total).select("doc_id", "set_hash", "row")
@@ -373,7 +378,11 @@ def keep_one(docs: DataFrame, plan: Plan = Plan(), id_col: str = "doc_id", text_
         drop(spark, table)
     hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(*hashed).alias("hash"), F.monotonically_increasing_id().alias("place"))
-    chosen = join_counted(rows.where("id is not null"), found, ["id"], F.col("place"), "n", hot_limit(docs.count(), spark))
+    rows = rows.where("id is not null")
+    if found.count() <= BROADCAST_IDS:  # and whole rows stay where they are
+        chosen = rows.join(F.broadcast(found), "id")
+    else:
+        chosen = join_counted(rows, found, ["id"], F.col("place"), "n", hot_limit(docs.count(), spark))
     if found.where("n > 1").isEmpty():
         once = chosen.select("row.*")
     else:

@@ -106,6 +106,13 @@ def test_null_ids_repeated_rows_and_repeated_ids(spark):
     assert sorted(kept, key=str) == [3, 8, None, None]
 
 
+def test_results_do_not_depend_on_what_is_broadcast(make_docs, monkeypatch):
+    docs = make_docs(corpus(5, 60))
+    want = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(docs).collect()), sorted(r.doc_id for r in neardup.keep_one(docs).collect())
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+    assert want == (sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(docs).collect()), sorted(r.doc_id for r in neardup.keep_one(docs).collect()))
+
+
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(docs).collect() == [] and neardup.keep_one(docs).collect() == []

@@ -15,9 +15,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
+from .words import mix
+
+_U = np.uint64
 BLOCK = 1 << 20
 #: Distinct pre-tokens that a worker keeps.
-KEPT = 300_000
+KEPT = 1_000_000
+#: Characters of a pre-token that its place in the table is found by; all are compared.
+LOOKED_AT = 24
 LETTER, NUMBER, SPACE, OTHER, UNSURE = 0, 1, 2, 3, 9
 # The white space of the byte-level pattern, and its contractions.
 WHITE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -86,7 +91,8 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.hashes, self.entries = np.zeros(0, _U), np.zeros(0, np.int64)
+        self.key_starts, self.key_lengths, self.keys = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.offsets, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     @staticmethod
@@ -143,7 +149,7 @@ class Encoder:
         starts = cut(points, kinds, begins)
         offsets = pa.py_buffer((np.append(starts, len(points)).astype(np.int64) * 4).tobytes())
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, offsets, pa.py_buffer(points)]).dictionary_encode()
-        at, back = self._places(pieces.dictionary.to_pylist()), pieces.indices.to_numpy(zero_copy_only=False)
+        at, back = self._places(pieces.dictionary), pieces.indices.to_numpy(zero_copy_only=False)
         per = self.lengths[at][back]
         total = np.cumsum(per)
         take = np.repeat(self.offsets[at][back] - (total - per), per) + np.arange(total[-1] if len(total) else 0)
@@ -153,19 +159,50 @@ class Encoder:
             out[i] = ids[stops[k] : stops[k + 1]]
         return []
 
-    def _places(self, pieces: list[bytes]) -> np.ndarray:
-        """Where the ids of each pre-token (UTF-32) are kept; new ones are encoded."""
-        if len(self.known) > KEPT:
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """The entries that hold the ids of different pre-tokens (UTF-32); new ones are encoded.
+
+        Entries are found by a hash of length and first characters and compared whole. One whose hash another has already gets an entry that is not found again.
+        """
+        if len(self.offsets) > KEPT:
             self._forget()
-        new = [x for x in pieces if x not in self.known]
-        if new:
-            made = [self.piece(x.decode("utf-32-le", "surrogatepass").encode()) for x in new]
-            lengths = np.fromiter(map(len, made), np.int64, len(made))
-            flat = np.fromiter((t for x in made for t in x), np.uint32, int(lengths.sum()))
-            self.offsets = np.concatenate([self.offsets, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.lengths, self.flat = np.concatenate([self.lengths, lengths]), np.concatenate([self.flat, flat])
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        bounds = np.frombuffer(pieces.buffers()[1], np.int64)[: len(pieces) + 1] // 4
+        points, starts, lengths = np.frombuffer(pieces.buffers()[2], np.uint32), bounds[:-1], np.diff(bounds)
+        own = lengths.astype(_U)
+        for k in range(min(LOOKED_AT, int(lengths.max(initial=0)))):
+            longer = np.flatnonzero(lengths > k)
+            own[longer] = mix(own[longer] ^ (points[starts[longer] + k].astype(_U) << _U(32)))
+        at = np.searchsorted(self.hashes, own)
+        taken = np.zeros(len(own), bool)
+        inside = at < len(self.hashes)
+        taken[inside] = self.hashes[at[inside]] == own[inside]
+        entry = np.full(len(own), -1)
+        entry[taken] = self.entries[at[taken]]
+        held = np.flatnonzero(taken)
+        held = held[self.key_lengths[entry[held]] == lengths[held]]
+        sizes = lengths[held]
+        step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        equal = points[np.repeat(starts[held], sizes) + step] == self.keys[np.repeat(self.key_starts[entry[held]], sizes) + step]
+        same = held[np.logical_and.reduceat(equal, np.cumsum(sizes) - sizes)] if len(held) else held
+        known = np.zeros(len(own), bool)
+        known[same] = True
+        new = np.flatnonzero(~known)
+        if len(new):
+            made = [self.piece(points[a : a + n].tobytes().decode("utf-32-le", "surrogatepass").encode()) for a, n in zip(starts[new], lengths[new])]
+            counts = np.fromiter(map(len, made), np.int64, len(made))
+            entry[new] = len(self.offsets) + np.arange(len(new))
+            self.offsets = np.concatenate([self.offsets, len(self.flat) + np.cumsum(counts) - counts])
+            self.lengths = np.concatenate([self.lengths, counts])
+            self.flat = np.concatenate([self.flat, np.fromiter((t for x in made for t in x), np.uint32, int(counts.sum()))])
+            sizes = lengths[new]
+            step = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            self.key_starts = np.concatenate([self.key_starts, len(self.keys) + np.cumsum(sizes) - sizes])
+            self.key_lengths = np.concatenate([self.key_lengths, sizes])
+            self.keys = np.concatenate([self.keys, points[np.repeat(starts[new], sizes) + step]])
+            first = np.unique(own[new], return_index=True)[1]
+            free = new[first][~taken[new[first]]]
+            self.hashes, self.entries = np.insert(self.hashes, at[free], own[free]), np.insert(self.entries, at[free], entry[free])
+        return entry
 
 
 @lru_cache(2)

@@ -46,8 +46,9 @@ def test_quality_and_near_duplicates(make_docs):
 def test_ids_in_one_task_and_in_several(make_docs, monkeypatch):
     code = tokens.encoder(tokens.default_path())
     want = [code.library.encode(x, add_special_tokens=False).ids for x in TEXTS]
-    for kept in (300_000, 1):
+    for kept, looked in ((300_000, 24), (1, 24), (300_000, 2), (40, 0)):
         monkeypatch.setattr(tokens, "KEPT", kept)
+        monkeypatch.setattr(tokens, "LOOKED_AT", looked)
         for texts, ids in ((TEXTS, want), (TEXTS[::-1], want[::-1])):
             assert [x.tolist() for x in code.encode(texts)] == ids
     docs = make_docs(TEXTS)

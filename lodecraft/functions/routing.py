@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,13 +27,14 @@ CRITIC_SUCCESS = "完成|成功|正确|通过|complete|success|correct|pass|证
 
 
 def any_of(text: Column, words: tuple[str, ...]) -> Column:
-    """The text holds one of the words, case counting."""
-    return text.rlike("|".join(("\\Q" + w + "\\E") for w in words))
+    """The text holds one of the words, case counting: searched for byte by byte, which is faster than a pattern of alternatives."""
+    return reduce(Column.__or__, (F.contains(text, F.lit(w)) for w in words))
 
 
 def estimate_tokens(text: Column) -> Column:
     """1.5 a Chinese character, 1 an English word, 0.5 for the rest of the length, truncated."""
-    chinese, english = F.regexp_count(text, F.lit("[\\u4e00-\\u9fff]")), F.regexp_count(text, F.lit("[a-zA-Z]+"))
+    chinese = F.when(F.octet_length(text) == F.length(text), 0).otherwise(F.regexp_count(text, F.lit("[\\u4e00-\\u9fff]")))
+    english = F.regexp_count(text, F.lit("[a-zA-Z]+"))
     rest = F.length(text) - chinese - english
     return F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(F.floor(chinese * 1.5 + english + rest * 0.5)).cast("long")
 

@@ -48,22 +48,14 @@ def _(spark, d):
 
 @query("sink_task_parquet")
 def _(spark, d):
-    from uuid import uuid4
-
-    from ..storage import shared_dir
-
-    path = f"{shared_dir(spark)}/lodecraft/tasks-{uuid4().hex}"
+    path = new_path(spark, "tasks")
     write_tasks(flatten(tasks(spark, d)), path)
     return read_tasks(spark, path).select("task_id", "dataset", "split")
 
 
 @query("sink_quarantine")
 def _(spark, d):
-    from uuid import uuid4
-
-    from ..storage import shared_dir
-
-    path = f"{shared_dir(spark)}/lodecraft/quarantine-{uuid4().hex}"
+    path = new_path(spark, "quarantine")
     write_quarantine(corpus.route(records(spark, d)).where("route <> 'kept'").select(F.col("dataset").alias("source"), "source_hash", F.col("route").alias("reason")), path)
     return spark.read.schema("source string, source_hash string, reason string").json(path)
 

@@ -20,7 +20,7 @@ from .words import mix
 _U = np.uint64
 BLOCK = 1 << 20
 #: Distinct pre-tokens that a worker keeps.
-KEPT = 1_000_000
+KEPT = 500_000
 #: Characters of a pre-token that its place in the table is found by; all are compared.
 LOOKED_AT = 24
 LETTER, NUMBER, SPACE, OTHER, UNSURE = 0, 1, 2, 3, 9

@@ -7,6 +7,7 @@ file of another kind, and texts with special tokens or characters of unsettled c
 
 from __future__ import annotations
 
+import ctypes
 import json
 import os
 import unicodedata
@@ -35,6 +36,15 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def give_back() -> None:
+    """Return what this process no longer uses to the system: a worker shares the memory of its executor, which needs it in the stages that follow."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 @lru_cache(1)
 def _classes() -> np.ndarray:
     """The class of each code point; unassigned ones, on which Unicode versions differ, are unsure."""
@@ -133,6 +143,7 @@ class Encoder:
             odd += self._block(texts, group, out)
         for i, ids in zip(odd, self._by_library([texts[i] for i in odd]) if odd else []):
             out[i] = ids
+        give_back()
         return out
 
     def _block(self, texts: list, group: list[int], out: list[np.ndarray]) -> list[int]:

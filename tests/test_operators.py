@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,49 @@ def test_near_pairs_equal_brute_force(spark):
     assert len(want) > 50 and len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_similar_sets_share_a_part_and_parts_are_few():
+    from lodecraft.operators import corpus
+
+    rng, edges, sent, shingles = np.random.default_rng(3), corpus._edges(0.9), 0, 0
+    for size in [*range(1, 60), *(int(x) for x in np.geomspace(60, 9000, 60))]:
+        one = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+        most = int(size * 2 * 0.1 / 1.9 + 1e-9)  # differences of sets of about one size
+        for shape in ("less", "more", "both", "first"):
+            gone = 0 if shape == "more" else size // 10 if shape in ("less", "first") else most // 2
+            new = size // 9 if shape == "more" else most // 2 if shape == "both" else 0
+            kept = one[gone:] if shape == "first" else np.delete(one, rng.choice(size, gone, replace=False))
+            other = np.unique(np.append(kept, rng.integers(0, 1 << 64, new, dtype=np.uint64)))
+            common = len(np.intersect1d(one, other))
+            if common >= 0.9 * (len(one) + len(other) - common) - 1e-9:
+                assert set(corpus.part_digests(one, 0.9, edges).tolist()) & set(corpus.part_digests(other, 0.9, edges).tolist()), (size, shape)
+                assert corpus._apart(corpus._sketch(one), corpus._sketch(other)) <= len(one) + len(other) - 2 * common
+        if size > 500:
+            sent, shingles = sent + len(corpus.part_digests(one, 0.9, edges)), shingles + size
+    assert sent < 0.2 * shingles
+
+
+def test_near_pairs_meet_in_few_rows(spark, monkeypatch):
+    """Texts without near ones send packed digests and meet in next to none; the index of rarest shingles had a row for each sixth shingle."""
+    import random
+
+    from lodecraft.operators import corpus
+
+    rng, rows = random.Random(5), {}
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(200)) for _ in range(300)]
+    texts[1] = texts[0] + " end"
+    kept = corpus.materialise
+
+    def counted(df, name):
+        out = kept(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(corpus, "materialise", counted)
+    got = corpus.near_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, canonical string")).collect()
+    assert [(r.a, r.b) for r in got] == [(0, 1)] and sum(rows.values()) < 10 * len(texts)
+
+
 def test_ids(spark):
     df = spark.createDataFrame([("ds", "a b")], "d string, c string").select(text.task_id(F.col("d"), F.col("c")).alias("i"), text.shingles(F.lit("abcdefg")).alias("s"), text.shingles(F.lit("ab")).alias("t"))
     r = df.first()

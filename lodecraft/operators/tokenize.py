@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,45 +40,65 @@ def longest_token(path: str) -> int:
     return max(len(t.encode()) for t in _tokenizer(path).get_vocab())
 
 
-def _byte_level(tokenizer) -> bool:
-    """Whether texts are cut by the byte-level pattern alone, whose matches look one character ahead and none back."""
-    import json
-
-    spec = json.loads(tokenizer.to_str())
-    return not spec.get("normalizer") and not spec.get("added_tokens") and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space")
+@lru_cache(4)
+def _byte_level(path: str) -> re.Pattern | None:
+    """The pattern of added tokens, if all else is cut by the byte-level pattern alone, whose matches look one character ahead and none back."""
+    spec = json.loads(_tokenizer(path).to_str())
+    pre, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
+    if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip")):
+        return None
+    return re.compile("|".join(re.escape(t) for t in sorted((t["content"] for t in added), key=len, reverse=True)) or r"(?!)")
+
+
+def _cuts(path: str, text: str) -> list[int]:
+    """Where a byte-level tokenizer begins a pre-token or an added token; none with another tokenizer."""
+    added = _byte_level(path)
+    if added is None:
+        return []
+    pre, out, at = _tokenizer(path).pre_tokenizer, [], 0
+    for start, end in [*(m.span() for m in added.finditer(text)), (len(text), None)]:
+        out += [at + s for _, (s, _) in pre.pre_tokenize_str(text[at:start])]
+        if end is not None:
+            out.append(start)
+        at = end
+    return out
 
 
 def encode(path: str, messages: list[tuple[str, str]], max_length: int, template: str = TEMPLATE) -> tuple:
     """(ids, labels, mask, spans, error) of one conversation.
 
     The whole is encoded once. A message ends at a token's end if the conversation up to there has just these tokens. With a byte-level tokenizer only what follows the last
-    cut before that end can be cut otherwise, so that rest alone is encoded again; other tokenizers encode the whole prefix. ``error``: ``prefix`` if
+    cut before that end, and the white space that it is in, can be cut otherwise, so that rest alone is encoded again; other tokenizers encode the whole prefix. ``error``: ``prefix`` if
     some message does not end so (a template may let it), ``length`` beyond ``max_length`` tokens; nothing is cut, then there are no tokens.
     """
     tokenizer = _tokenizer(path)
     parts = [render(r, c, template) for r, c in messages]
     text = "".join(parts)
     whole = tokenizer.encode(text, add_special_tokens=False)
-    if len(whole.ids) > max_length:
+    ids, offsets = whole.ids, whole.offsets  # each access makes the whole list anew
+    if len(ids) > max_length:
         return None, None, None, None, "length"
-    cuts = [s for _, (s, _) in tokenizer.pre_tokenizer.pre_tokenize_str(text)] if _byte_level(tokenizer) else []
+    cuts = _cuts(path, text)
     spans, labels, mask, at, end, cut = [], [], [], 0, 0, 0
     for (role, _), part in zip(messages, parts):
         end += len(part)
         start = at
-        while at < len(whole.ids) and whole.offsets[at][0] < end:
+        while at < len(ids) and offsets[at][0] < end:
             at += 1
         while cut < len(cuts) and cuts[cut] < end:
             cut += 1
-        low = cuts[cut - 1] if cuts else 0
-        own = [i for i, (a, _) in zip(whole.ids[:at], whole.offsets[:at]) if a >= low] if not cuts else whole.ids[_first(whole.offsets, low, at) : at]
-        if at and whole.offsets[at - 1][1] > end or tokenizer.encode(text[low:end], add_special_tokens=False).ids != own:
+        back = cut - 1
+        while back > 0 and text[cuts[back] - 1 : cuts[back] + 1].isspace():  # what follows a run of white space decides where it is cut
+            back -= 1
+        low = cuts[back] if cut else 0
+        own = ids[_first(offsets, low, at) : at]
+        if at and offsets[at - 1][1] > end or tokenizer.encode(text[low:end], add_special_tokens=False).ids != own:
             return None, None, None, None, "prefix"
         trained = role == TRAINED
-        labels += whole.ids[start:at] if trained else [IGNORED] * (at - start)
+        labels += ids[start:at] if trained else [IGNORED] * (at - start)
         mask += [int(trained)] * (at - start)
         spans.append((role, start, at))
-    return whole.ids, labels, mask, spans, None
+    return ids, labels, mask, spans, None
 
 
 def _first(offsets: list, low: int, at: int) -> int:

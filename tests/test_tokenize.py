@@ -62,3 +62,29 @@ def test_defined_cases(spark):
     found = {r.conv_id: r for r in K.tokenize(spark.createDataFrame(rows, schema), PATH, 50).collect()}
     assert found[None].error is None and [s.role for s in found[None].spans] == ["user", "assistant"] and sum(found[None].assistant_mask) > 0
     assert found[1].error is None and found[2].error == found[3].error == "length" and found[2].input_ids is None
+
+
+@pytest.mark.parametrize("template", [K.TEMPLATE, LOOSE])
+def test_only_the_rest_is_encoded_again(monkeypatch, template):
+    rng = random.Random(5)
+    pieces = ["Hello", " world", "\n", "  ", " \n", "don't", "漢字", "🙂", "<|endoftext|>", "<|endof", "text|>", "\t", " a", "\x1c", "\u3000", "'", "ll"]
+    for _ in range(400):
+        data = [(rng.choice(["user", "assistant"]), "".join(rng.choice(pieces) for _ in range(rng.randint(0, 8)))) for _ in range(rng.randint(1, 6))]
+        want = brute(data, 10**6, template)
+        assert K.encode(PATH, data, 10**6, template)[4 if isinstance(want, str) else slice(0, 4)] == want
+    seen, library = [], K._tokenizer(PATH)
+
+    class Counted:
+        pre_tokenizer = library.pre_tokenizer
+        to_str = staticmethod(library.to_str)
+
+        def encode(self, text, **kw):
+            seen.append(len(text))
+            return library.encode(text, **kw)
+
+    monkeypatch.setattr(K, "_tokenizer", lambda path: Counted())
+    K._byte_level.cache_clear()
+    for n in (50, 200):
+        K.encode(PATH, [("user", "some words here")] * n, 10**6)
+        assert sum(seen) < 2 * seen[0]  # not the prefix of each message
+        seen.clear()

@@ -97,3 +97,24 @@ def test_near_dedup_leaves_no_close_pair(spark):
     gone = sequential(nodes, [(rows[i][2], rows[j][2]) for i, j in true])
     assert {r.content_key for r in similar.near_dedup(df).collect()} == set(nodes) - gone
     assert corpus.near_pairs(df.selectExpr("task_id AS id", "canonical")).count() == len(true)
+
+
+def test_texts_move_only_where_they_may_be_similar(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"word{k}" for k in range(3000)]
+    base = [rng.choice(words) for _ in range(400)]
+    data = [" ".join(base[:320] + [rng.choice(words) for _ in range(80)]) for _ in range(40)] + [" ".join(base), " ".join(base[:-1])]
+    stored, keep = {}, similar.materialise
+
+    def counted(df, name):
+        stored[name] = keep(df, name)
+        rows = stored[name].count()
+        stored[name] = (stored[name].columns, rows)
+        return keep(df, name)
+
+    monkeypatch.setattr(similar, "materialise", counted)
+    true, _ = close(data)
+    got = {r.id: r.links for r in similar.lsh_links(spark.createDataFrame(list(enumerate(data)), "id long, canonical string")).collect()}
+    assert got == dict(enumerate(sum(i in p for p in true) for i in range(len(data)))) and len(true) < 10
+    assert stored["taking"][1] > 40 and stored["alike"][1] <= 20 * 2 * len(true)
+    assert all("set" not in columns and "signature" not in columns for columns, _ in stored.values())

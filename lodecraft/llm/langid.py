@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import hot_limit, join_counted
 from ..storage import drop, materialise
 from .words import mix
 
@@ -20,7 +21,7 @@ _U = np.uint64
 #: Symbols of a gram, bits of a symbol, and symbols in the alphabet over which the last order is even.
 ORDER, BITS = 4, 16
 ALPHABET = 1 << BITS
-#: Grams of all languages and orders together that a model may hold: a bound of what is broadcast (16 bytes each, histories included at most 32).
+#: Grams of all languages and orders together that a ``Model`` may hold: a bound of what is broadcast (16 bytes each, histories included at most 32). Where there are more, ``Tables`` hold them all.
 CAPACITY = 2_000_000
 #: Code points that are handled at once, and grams that a task holds back before it gives out counts.
 BLOCK, HELD = 1 << 20, 1_000_000
@@ -192,12 +193,22 @@ class Model(NamedTuple):
         return out
 
 
-def _kept(grams: DataFrame, capacity: int) -> tuple[DataFrame, list[DataFrame]]:
+def _least(counted: DataFrame, most: int) -> int:
+    """The least power of 2 such that at most ``most`` rows have a count ``c`` of it or more."""
+    seen = 0
+    for r in counted.groupBy(F.floor(F.log2("c")).cast("int").alias("p")).count().orderBy(F.desc("p")).collect():
+        seen += r["count"]
+        if seen > most:
+            return 1 << (r["p"] + 1)
+    return 1
+
+
+def _kept(grams: DataFrame, capacity: int | None) -> tuple[DataFrame, list[DataFrame]]:
     """(lang, k, gram, share, rest) of the grams (lang, gram, n) that the model holds, and tables to delete.
 
     The highest order counts occurrences, each lower one the different symbols before a gram. One discount for a language and order, n1 / (n1 + 2 n2),
     is within 0.1 and 0.9. ``share``: the discounted count over its history's total; ``rest``: what the history leaves for lower orders, all that
-    grams left out would have had included. Each order may have a fourth of ``capacity``: grams counted under the least power of 2 that brings it there are left out.
+    grams left out would have had included. Each order may have a fourth of ``capacity``: grams counted under the least power of 2 that brings it there are left out; none if it is None.
     """
     tables, out, level = [], None, grams.select("lang", "gram", F.col("n").alias("c"))
     for k in range(ORDER, 0, -1):
@@ -205,13 +216,7 @@ def _kept(grams: DataFrame, capacity: int) -> tuple[DataFrame, list[DataFrame]]:
             level = level.groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("c"))
         level = materialise(level, f"order{k}")
         tables.append(level)
-        power = F.floor(F.log2("c")).cast("int")
-        least, seen = 1, 0
-        for r in level.groupBy(power.alias("p")).count().orderBy(F.desc("p")).collect():
-            seen += r["count"]
-            if seen > capacity // ORDER:
-                least = 1 << (r["p"] + 1)
-                break
+        least = 1 if capacity is None else _least(level, capacity // ORDER)
         ones = level.groupBy("lang").agg(F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"))
         cut = F.greatest(F.lit(0.1), F.least(F.lit(0.9), F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))))
         own = Window.partitionBy("lang", "history")
@@ -247,12 +252,131 @@ def build(grams: DataFrame, capacity: int = CAPACITY) -> Model:
     return model
 
 
-def score(rows: DataFrame, model: Model, columns: tuple[str, ...]) -> DataFrame:
+class Tables(NamedTuple):
+    """A model of any number of grams, none left out: a table of each order, so that no process holds more than its share.
+
+    ``grams[k - 1]``: (gram, found), ``histories[k - 1]``: (history, left), with maps from places in ``langs`` to ln p and to the logarithm of what is left for lower orders.
+    ``keys``, sorted: the grams of ORDER symbols that are counted most, and ``head`` their ln p in each language; these are decided where the texts are.
+    """
+
+    langs: list[str]
+    grams: list[DataFrame]
+    histories: list[DataFrame]
+    keys: np.ndarray
+    head: np.ndarray
+
+    def log_p(self, wanted: DataFrame, order: int = ORDER) -> DataFrame:
+        """(gram, log_p: its ln p in each language) of different grams of ``order`` symbols: what ``Model.log_p`` gives.
+
+        Joined an order at a time, so a key has at most as many rows as there are symbols.
+        """
+        rows = wanted.join(self.grams[order - 1], "gram", "left").withColumn("history", F.shiftrightunsigned("gram", BITS)).join(self.histories[order - 1], "history", "left")
+        lower = lambda k: F.lit(-float(np.log(ALPHABET)))
+        if order > 1:
+            short = F.col("gram").bitwiseAND(F.lit((1 << BITS * (order - 1)) - 1))
+            below = self.log_p(wanted.select(short.alias("gram")).distinct(), order - 1)
+            rows = rows.withColumn("short", short).join(below.select(F.col("gram").alias("short"), F.col("log_p").alias("below")), "short")
+            lower = lambda k: F.get("below", k)
+        each = F.transform(F.sequence(F.lit(0), F.lit(len(self.langs) - 1)), lambda k: F.coalesce(F.element_at("found", k), F.coalesce(F.element_at("left", k), F.lit(0.0)) + lower(k)))
+        return rows.select("gram", each.alias("log_p"))
+
+    def drop(self) -> None:
+        for table in (*self.grams, *self.histories):
+            drop(table.sparkSession, table)
+
+
+def build_tables(grams: DataFrame, capacity: int = CAPACITY) -> Tables:
+    """The model of counted grams (lang, gram, n) as tables; at most ``capacity`` numbers, those of its head, are sent to the driver."""
+    spark = grams.sparkSession
+    rows, used = _kept(grams, None)
+    langs = sorted(r.lang for r in grams.select("lang").distinct().collect())
+    place = (F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")) - 1).cast("int")
+    each = lambda value, name: F.map_from_entries(F.collect_list(F.struct(place, value))).alias(name)
+    by_gram, by_history, below = [], [], None
+    for k in range(1, ORDER + 1):
+        own, lower = rows.where(F.col("k") == k), F.lit(1.0 / ALPHABET)
+        if k > 1:  # each gram without its first symbol is one of the order below
+            own = own.withColumn("short", F.col("gram").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1))).join(below.select("lang", F.col("gram").alias("short"), F.col("p").alias("lower")), ["lang", "short"])
+            lower = F.col("lower")
+        below = materialise(own.select("lang", "gram", "rest", (F.col("share") + F.col("rest") * lower).alias("p")), f"p{k}")
+        used.append(below)
+        left = below.groupBy("lang", F.shiftrightunsigned("gram", BITS).alias("history")).agg(F.first("rest").alias("rest"))  # the same for all grams of a history
+        by_gram.append(materialise(below.groupBy("gram").agg(each(F.ln("p"), "found")), f"found{k}"))
+        by_history.append(materialise(left.groupBy("history").agg(each(F.ln("rest"), "left")), f"left{k}"))
+    counted = materialise(grams.groupBy("gram").agg(F.sum("n").alias("c")), "counted")
+    used.append(counted)
+    out = Tables(langs, by_gram, by_history, np.zeros(0, np.int64), np.zeros((0, len(langs))))
+    found = out.log_p(counted.where(F.col("c") >= _least(counted, capacity // len(langs))).select("gram")).toArrow().combine_chunks()
+    for table in used:
+        drop(spark, table)
+    keys = found["gram"].to_numpy()
+    head = found["log_p"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(keys), len(langs)) if len(keys) else out.head
+    sort = np.argsort(keys.view(_U))
+    return out._replace(keys=keys.view(_U)[sort], head=head[sort])
+
+
+def learn(grams: DataFrame, capacity: int = CAPACITY) -> Model | Tables:
+    """The whole model of counted grams (lang, gram, n): in memory if it holds at most ``capacity`` grams, else as tables."""
+    few = grams.count() <= capacity // ORDER  # a lower order has no more of them
+    return build(grams, capacity) if few else build_tables(grams, capacity)
+
+
+def _score_tables(rows: DataFrame, model: Tables, columns: tuple[str, ...]) -> DataFrame:
+    """``score`` by tables: grams of the head are summed with the texts; the others of each text, with their counts, meet their ln p in a join."""
+    spark, n = rows.sparkSession, len(model.langs)
+    sent = spark.sparkContext.broadcast((model.keys, model.head))
+    kept = rows.select("text", *columns)
+    schema = ", ".join([*(f"`{c}` {kind}" for c, kind in kept.dtypes[1:]), "total array<double>, symbols long, seen boolean, tail array<bigint>, times array<bigint>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, head = sent.value
+        for batch in batches:
+            total, size, seen = np.zeros((len(batch), n)), np.zeros(len(batch), np.int64), np.zeros(len(batch), bool)
+            tails: list[list[np.ndarray]] = [[] for _ in range(len(batch))]
+            for grams, group, sizes, lettered in gram_blocks(batch.column(0).to_pylist()):
+                seen[group] |= np.array(lettered, bool)
+                size[group] += sizes
+                at, found = _find(keys, grams)
+                full = np.flatnonzero(sizes)
+                ends = np.cumsum(sizes)
+                for k in range(n if len(full) else 0):
+                    known = np.zeros(len(grams))
+                    known[found] = head[at[found], k]
+                    total[np.array(group)[full], k] += np.add.reduceat(known, (ends - sizes)[full])
+                for k in full:
+                    own = slice(ends[k] - sizes[k], ends[k])
+                    tails[group[k]].append(_counted(grams[own][~found[own]], np.ones(int((~found[own]).sum()))))
+            merged = [_counted(np.concatenate([x[0] for x in t]), np.concatenate([x[1] for x in t])) if t else (np.zeros(0, _U), np.zeros(0, np.int64)) for t in tails]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x[0]) for x in merged])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in merged]).view(np.int64))) for k in (0, 1)] if merged else [pa.array([], pa.list_(pa.int64()))] * 2
+            totals = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * n), pa.array(total.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], totals, pa.array(size), pa.array(seen), *lists], [*batch.schema.names[1:], "total", "symbols", "seen", "tail", "times"])
+
+    first = materialise(kept.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "scored")
+    tail = first.select("__row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("__row", F.col("t.tail").alias("gram"), F.col("t.times").alias("times"))
+    wanted = materialise(tail.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")), "wanted")
+    worth = materialise(wanted.join(model.log_p(wanted.select("gram")), "gram"), "worth")
+    met = join_counted(tail, worth, ["gram"], F.col("__row"), "texts", hot_limit(wanted.agg(F.sum("texts")).first()[0] or 0, spark))
+    one = lambda k: F.sum(F.col("log_p")[k].cast("decimal(18,12)") * F.col("times").cast("decimal(15,0)")).cast("double")  # noqa: E731  (in any order the same)
+    sums = met.groupBy("__row").agg(F.array(*[one(k) for k in range(n)]).alias("more"))
+    entropy = lambda k: -(F.get("total", k) + F.coalesce(F.get("more", k), F.lit(0.0))) / F.greatest("symbols", F.lit(1))
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(entropy(k).alias("e"), k.alias("at"))))
+    both = first.join(sums, "__row", "left").withColumn("order", F.when(F.col("seen") & (F.col("symbols") > 0), order))
+    margin = F.col("order")[1]["e"] - F.col("order")[0]["e"] if n > 1 else F.when(F.col("order").isNotNull(), F.lit(float("inf")))
+    out = materialise(both.select(*columns, F.col("order")[0]["at"].alias("best"), F.col("order")[0]["e"].alias("entropy"), margin.alias("margin"), "symbols"), "entropies")
+    for table in (first, wanted, worth):
+        drop(spark, table)
+    return out
+
+
+def score(rows: DataFrame, model: Model | Tables, columns: tuple[str, ...]) -> DataFrame:
     """``columns`` of rows (text, ...) with best (its place in ``model.langs``), entropy, margin, symbols.
 
     ``entropy``: the lowest cross-entropy of the text, in nats a symbol; ``margin``: how much higher that of the next language is, infinite if there is none. ``best`` is
     null if the text is null or has no letter. Ties go to the language that sorts first.
     """
+    if isinstance(model, Tables):
+        return _score_tables(rows, model, columns)
     sent = rows.sparkSession.sparkContext.broadcast(model)
     kept = rows.select("text", *columns)
     schema = ", ".join([*(f"`{c}` {kind}" for c, kind in kept.dtypes[1:]), "best int, entropy double, margin double, symbols long"])
@@ -316,7 +440,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(doc_id, held_out, lang_pred, score, rejected, entropy, margin) of each row's whole text.
 
     Rows fall into four parts by crc32 of the id's decimal text. Part 2 is held out; part 3 calibrates a model of parts 0 and 1; the model that predicts is
-    of parts 0, 1 and 3. Counts cover every text of these parts; the model keeps at most ``capacity`` grams, chosen by count (``build``). ``lang_pred`` is the
+    of parts 0, 1 and 3. Models hold every gram of every text of these parts; ``capacity`` decides only whether in memory or as tables (``learn``). ``lang_pred`` is the
     language with the lowest cross-entropy a symbol; ``score`` the share of right predictions among calibration texts of like evidence; ``rejected``
     says that the text fits even that language worse than nearly all texts of its length do (``_calibrate``), so it is likely in none of the learned ones.
 
@@ -328,8 +452,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)).cast("int").alias("part"))
     learned = rows.where("lang is not null and text is not null and part <> 2")
     grams = materialise(count_grams(learned.select("text", "lang", "part")), "grams")
-    trial = build(grams.where("fit > 0").select("lang", "gram", F.col("fit").alias("n")), capacity)
-    model = build(grams.select("lang", "gram", (F.col("fit") + F.col("rest")).alias("n")), capacity)
+    trial = learn(grams.where("fit > 0").select("lang", "gram", F.col("fit").alias("n")), capacity)
+    model = learn(grams.select("lang", "gram", (F.col("fit") + F.col("rest")).alias("n")), capacity)
     scores, limits = [0.5 + 0.5 * (k + 1) / (STEPS + 1) for k in range(STEPS)], None
     place = F.lit(None).cast("int")
     if trial.langs:
@@ -340,6 +464,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         limits = spark.createDataFrame(limits.select(place.alias("best"), "length", "limit").toArrow())
     drop(spark, grams)
     found = score(rows, model, ("doc_id", "part"))
+    for used in (trial, model):
+        if isinstance(used, Tables):
+            used.drop()
     if limits is not None:  # at most a row for each language and power of 2
         found = found.withColumn("length", _length()).join(F.broadcast(limits), ["best", "length"], "left")
         found = found.join(F.broadcast(limits.groupBy("best").agg(F.max("limit").alias("most"))), "best", "left").withColumn("limit", F.coalesce("limit", "most"))

@@ -158,3 +158,20 @@ def test_counts_given_out_early(spark, monkeypatch):
     got = {(r.lang, r.gram): (r.fit, r.rest) for r in langid.count_grams(spark.createDataFrame(texts, "text string, lang string, part int")).collect()}
     want = Counter((x, sum(s << 16 * (3 - j) for j, s in enumerate(g))) for _, t, x in corpus(20) for g in grams(t))
     assert got == {k: (n, n) for k, n in want.items()}
+
+
+def test_nothing_is_left_out_beyond_capacity(spark, monkeypatch):
+    data = corpus(200) + [(900, "漢字 " * 40, None), (901, None, "aa"), (902, "12", "bb")] + [(903, "zwurk kala хлеб", "aa")] * 2
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)
+    models = {x: Brute([t for i, t, y in data if y == x and part(i) != 2 and t]) for x in WORDS}
+    text = {i: t for i, t, _ in data}
+    key = lambda r: r.doc_id
+    whole = sorted(langid.identify(df).collect(), key=key)
+    for capacity in (200, 0):  # by tables, with a head and without
+        monkeypatch.setattr(langid, "BLOCK", 64 if capacity else 1 << 20)
+        rows = sorted(langid.identify(df, capacity=capacity).collect(), key=key)
+        assert [r[:5] for r in rows] == [r[:5] for r in whole]
+        for r in rows:
+            if r.doc_id not in (901, 902):
+                want = sorted((m.entropy(text[r.doc_id]), x) for x, m in models.items())
+                assert r.lang_pred == want[0][1] and abs(r.entropy - want[0][0]) < 1e-9 and abs(r.margin - (want[1][0] - want[0][0])) < 1e-9

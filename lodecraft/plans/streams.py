@@ -6,7 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
-from ..storage import own_dir
+from ..storage import drop, materialise, own_dir
 from ..streaming import episodes as E
 from ..streaming import traces as S
 from .evaluation import _EPISODE
@@ -50,9 +50,11 @@ def _(spark, d):
     base = f"{own_dir(spark)}/episodes-{uuid4().hex}"
     times = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     recorded = traces(spark, d).join(times, "event_id").select("trace_id", F.col("sequence").cast("long").alias("sequence"), "kind", "seconds", "ts")
+    recorded = materialise(recorded, "recorded")
     for part in range(3):  # in three deliveries that cut through traces
         recorded.where(F.pmod(F.col("sequence") + F.col("trace_id"), F.lit(3)) == part).write.mode("append").parquet(f"{base}/events")
         stream = S.read_events(spark, f"{base}/events", recorded.schema, 2)
         E.run(E.episodes(stream, 2, 1, 0.5, late="3650 days"), f"{base}/out", f"{base}/check").awaitTermination()
+    drop(spark, recorded)
     out = E.latest(spark.read.schema(f"{E.EPISODE}, batch long").parquet(f"{base}/out"))
     return out.select("trace_id", "steps", "tool_calls", "invalid_actions", "python_seconds", "reason")

@@ -6,13 +6,17 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.traces import STEPS
 
 EPISODE = "trace_id long, steps long, tool_calls long, invalid_actions long, python_seconds double, reason string, events long, closed boolean"
 FOLDED = "steps long, tool_calls long, invalid_actions long, python_seconds double, reason string, events long, next long"
-WAITING = "sequence long, kind string, seconds double"
+OPEN = f"trace_id long, due long, {FOLDED}"
+WAITING = "trace_id long, sequence long, kind string, seconds double"
+#: 64 neighbouring ids (1 << BUNDLE) share a key: a call to the state costs much more than folding an event.
+BUNDLE = 6
 
 
 class Limits(NamedTuple):
@@ -49,50 +53,75 @@ class Folded(NamedTuple):
 
 
 class _Episodes(StatefulProcessor):
+    """The open episodes of a bundle of neighbouring ids. One timer: the time at which the first of them falls silent."""
+
     def __init__(self, limits: Limits, silence_ms: int):
         self.limits, self.silence_ms = limits, silence_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.folded = handle.getValueState("folded", FOLDED)
+        self.open = handle.getListState("open", OPEN)
         self.waiting = handle.getListState("waiting", WAITING)
 
     def _row(self, trace_id: int, f: Folded, closed: bool) -> Row:
         return Row(trace_id=trace_id, steps=f.steps, tool_calls=f.tool_calls, invalid_actions=f.invalid_actions, python_seconds=f.python_seconds, reason=f.reason, events=f.events, closed=closed)
 
-    def _state(self) -> tuple[Folded, dict[int, tuple]]:
-        folded = Folded(*self.folded.get()) if self.folded.exists() else Folded()
-        return folded, {x[0]: tuple(x) for x in self.waiting.get()} if self.waiting.exists() else {}
+    def _state(self) -> tuple[dict[int, Folded], dict[int, int], dict[int, dict[int, tuple]]]:
+        """What each open episode has used, when it is due to close, and its events that wait."""
+        folded, due, waiting = {}, {}, {}
+        if self.open.exists():
+            for trace_id, at, *used in self.open.get():
+                folded[trace_id], due[trace_id], waiting[trace_id] = Folded(*used), at, {}
+            if self.waiting.exists():
+                for trace_id, *event in self.waiting.get():
+                    waiting[trace_id][event[0]] = tuple(event)
+        return folded, due, waiting
+
+    def _keep(self, folded: dict[int, Folded], due: dict[int, int], waiting: dict[int, dict[int, tuple]]) -> None:
+        self.open.put([(k, due[k], *f) for k, f in folded.items()]) if folded else self.open.clear()
+        events = [(k, *event) for k, own in waiting.items() for event in sorted(own.values())]
+        self.waiting.put(events) if events else self.waiting.clear()
+
+    def _all(self, folded: Folded, waiting: dict[int, tuple]) -> Folded:
+        for event in sorted(waiting.values()):
+            folded = folded.advance(*event, self.limits)
+        return folded
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        folded, waiting = self._state()
-        latest = 0
+        folded, due, waiting = self._state()
+        before = min(due.values(), default=None)
+        seen = set()
         for r in rows:
-            latest = max(latest, int(r.ts.timestamp() * 1000))
-            if r.sequence >= folded.next:  # else it was folded before
-                waiting[r.sequence] = (r.sequence, r.kind, r.seconds)
-        while folded.next in waiting:
-            folded = folded.advance(*waiting.pop(folded.next), self.limits)
-        self.folded.update(tuple(folded))
-        self.waiting.put(sorted(waiting.values())) if waiting else self.waiting.clear()
-        timers = [*self.handle.listTimers()]
-        due = max([latest + self.silence_ms, *timers])
-        for t in timers:
-            if t != due:
-                self.handle.deleteTimer(t)
-        if due not in timers:
-            self.handle.registerTimer(due)
-        for event in sorted(waiting.values()):  # as it stands if what is missing never comes
-            folded = folded.advance(*event, self.limits)
-        yield self._row(key[0], folded, False)
+            k = r.trace_id
+            seen.add(k)
+            own = waiting.setdefault(k, {})
+            due[k] = max(due.get(k, 0), int(r.ts.timestamp() * 1000) + self.silence_ms)
+            if r.sequence >= folded.setdefault(k, Folded()).next:  # else it was folded before
+                own[r.sequence] = (r.sequence, r.kind, r.seconds)
+        for k in seen:
+            f, own = folded[k], waiting[k]
+            while f.next in own:
+                f = f.advance(*own.pop(f.next), self.limits)
+            folded[k] = f
+        self._keep(folded, due, waiting)
+        first = min(due.values())
+        if first != before:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(first)
+        for k in seen:  # as it stands if what is missing never comes
+            yield self._row(k, self._all(folded[k], waiting[k]), False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        folded, waiting = self._state()
-        for event in sorted(waiting.values()):
-            folded = folded.advance(*event, self.limits)
-        self.folded.clear()
-        self.waiting.clear()
-        yield self._row(key[0], folded._replace(reason=folded.reason or "cancelled"), True)
+        folded, due, waiting = self._state()
+        expired, watermark = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        closed = {k: (folded.pop(k), waiting.pop(k)) for k, at in due.items() if at <= expired or at < watermark}
+        self._keep(folded, due, waiting)
+        if folded:
+            self.handle.registerTimer(min(due[k] for k in folded))
+        for k, (f, own) in closed.items():
+            f = self._all(f, own)
+            yield self._row(k, f._replace(reason=f.reason or "cancelled"), True)
 
     def close(self) -> None:
         pass
@@ -102,7 +131,7 @@ def episodes(events: DataFrame, max_steps: int, max_tools: int, max_seconds: flo
     """A row (``EPISODE``) of each episode that got events in a micro-batch, as it stands, and a closed one when it ends; for update mode.
 
     ``events``: a stream of (trace_id, sequence, kind, seconds, ts timestamp). An event is folded when all before it have been; until then it waits in the state, which
-    holds a few numbers and these events for each open episode. Rows count what waits as if nothing between were to come, so
+    holds a few numbers and these events for each open episode; up to 64 episodes of neighbouring ids are one key. Rows count what waits as if nothing between were to come, so
     the last row of a trace is that of the batch fold over the same events, however the stream is cut into batches and in whatever order events come.
     Once the watermark (``late``) is ``silence_ms`` beyond an episode's last event, it is closed: what waits is folded, an episode without an end is ``cancelled``, and its
     state goes. Repeated events are folded once. The state is in RocksDB and restarts from the query's checkpoint.
@@ -110,7 +139,7 @@ def episodes(events: DataFrame, max_steps: int, max_tools: int, max_seconds: flo
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kept = events.select("trace_id", "sequence", "kind", "seconds", "ts").withWatermark("ts", late)
-    return kept.groupBy("trace_id").transformWithState(_Episodes(Limits(max_steps, max_tools, max_seconds), silence_ms), EPISODE, outputMode="Update", timeMode="EventTime")
+    return kept.withColumn("bundle", F.shiftright("trace_id", BUNDLE)).groupBy("bundle").transformWithState(_Episodes(Limits(max_steps, max_tools, max_seconds), silence_ms), EPISODE, outputMode="Update", timeMode="EventTime")
 
 
 def run(rows: DataFrame, out: str, checkpoint: str):
@@ -124,7 +153,5 @@ def run(rows: DataFrame, out: str, checkpoint: str):
 
 def latest(out: DataFrame) -> DataFrame:
     """The last row of each trace: its columns are those of ``EPISODE``."""
-    from pyspark.sql import functions as F
-
     own = [c.split()[0] for c in EPISODE.split(", ")][1:]
     return out.groupBy("trace_id").agg(F.max_by(F.struct(*own), F.struct("batch", "closed")).alias("e")).select("trace_id", "e.*")

@@ -76,3 +76,23 @@ def test_journal_takes_a_key_once_and_reads_nothing_back(spark, tmp_path):
 
 def test_no_rows(spark, tmp_path):
     assert S.read_journal(spark, str(tmp_path / "none"), "k long").collect() == []
+
+
+def test_neighbours_share_a_key_and_close_apart(spark, tmp_path):
+    deliveries = [
+        [(t, k, "tool_call", None, START + timedelta(minutes=40 * (t // 50))) for t in range(128) for k in (0, 2)],  # three ends in a bundle of 64
+        [(1000, 0, "final", None, START + timedelta(hours=1, minutes=30))],
+        [(1000, 1, "final", None, START + timedelta(hours=1, minutes=31)), (60, 1, "final", None, START + timedelta(hours=1, minutes=31))],
+    ]
+    for part in deliveries:
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        stream = S.read_events(spark, str(tmp_path / "events"), SCHEMA, 1)
+        job = E.run(E.episodes(stream, 9, 9, 9.0, late="0 seconds", silence_ms=3_600_000), str(tmp_path / "out"), str(tmp_path / "check"))
+        job.awaitTermination()
+        if part is deliveries[0]:
+            assert job.recentProgress[0]["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] == 2
+    found = {r.trace_id: r for r in E.latest(spark.read.schema(f"{E.EPISODE}, batch long").parquet(str(tmp_path / "out"))).collect()}
+    assert len(found) == 129
+    assert all(found[t].closed and found[t].reason == "cancelled" and found[t].events == 2 for t in range(50))
+    assert (found[60].reason, found[60].events, found[60].tool_calls) == ("final", 3, 1)
+    assert not found[127].closed and not found[1000].closed

@@ -1,11 +1,15 @@
 """Near-duplicate links and the greedy choice against brute force."""
 
 import random
+import time
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from lodecraft import storage
 from lodecraft.functions import text
 from lodecraft.operators import corpus, similar
 
@@ -118,3 +122,38 @@ def test_texts_move_only_where_they_may_be_similar(spark, monkeypatch):
     assert got == dict(enumerate(sum(i in p for p in true) for i in range(len(data)))) and len(true) < 10
     assert stored["taking"][1] > 40 and stored["alike"][1] <= 20 * 2 * len(true)
     assert all("set" not in columns and "signature" not in columns for columns, _ in stored.values())
+
+
+def test_rounds_of_units_find_the_same_pairs(spark, monkeypatch):
+    data, stored, keep = texts(), [], corpus.materialise
+    monkeypatch.setattr(corpus, "ROOM", 1)
+    monkeypatch.setattr(corpus, "BLOCK", 1)
+    monkeypatch.setattr(corpus, "materialise", lambda df, name: stored.append(name) or keep(df, name))
+    found = corpus.near_pairs(spark.createDataFrame(list(enumerate(data)), "id long, canonical string")).collect()
+    assert sorted((r.a, r.b) for r in found) == sorted(close(data)[0])
+    assert stored.count("units") > 1
+
+
+def test_parts_that_many_sets_have_are_looked_up_last():
+    rng, edges = np.random.default_rng(5), corpus._edges(0.9)
+    common = rng.integers(0, 1 << 64, 4000, dtype=np.uint64, endpoint=False)
+    rarity = np.full(corpus.PLACES, 100, np.uint8)
+    rarity[(common & np.uint64(corpus.PLACES - 1)).astype(np.int64)] = 0
+    made = [np.unique(np.append(common, rng.integers(0, 1 << 64, 1800, dtype=np.uint64))) for _ in range(2)]
+    sent = [[set(corpus.part_digests(x, 0.9, edges, r).tolist()) for x in made] for r in (None, rarity)]
+    assert sent[0][0] & sent[0][1] and len(sent[1][0] & sent[1][1]) < len(sent[0][0] & sent[0][1])
+    near = np.unique(np.append(made[0][300:], rng.integers(0, 1 << 64, 200, dtype=np.uint64)))
+    assert sent[1][0] & set(corpus.part_digests(near, 0.9, edges, rarity).tolist())
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    root = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {p.name for d in root for p in Path(d).rglob("shuffle_*")}
+    before = files()
+    table = storage.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not {f for f in files() - before if f.endswith(".data")} and spark.conf.get(storage.CLEANUP) == "false"
+    assert table.count() == 7

@@ -14,6 +14,12 @@ from .registry import query
 from .views import table, traces
 
 
+#: Events of a delivered file, about.
+DELIVERED = 4_000_000
+#: 1,024 neighbouring episodes share a key of the state: a delivery brings a third of the events of each.
+BUNDLE = 10
+
+
 def _events(spark, d):
     """The events table as a stream: Structured Streaming reads folders, so its one file or folder is matched by name."""
     return spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*.parquet")
@@ -51,10 +57,13 @@ def _(spark, d):
     times = table(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
     recorded = traces(spark, d).join(times, "event_id").select("trace_id", F.col("sequence").cast("long").alias("sequence"), "kind", "seconds", "ts")
     recorded = materialise(recorded, "recorded")
+    files = recorded.count() // (3 * DELIVERED) + 1
     for part in range(3):  # in three deliveries that cut through traces
-        recorded.where(F.pmod(F.col("sequence") + F.col("trace_id"), F.lit(3)) == part).write.mode("append").parquet(f"{base}/events")
+        delivery = recorded.where(F.pmod(F.col("sequence") + F.col("trace_id"), F.lit(3)) == part)
+        # what costs most is a micro-batch, whatever it holds, so files are few; neighbouring traces lie together, so a key of the state comes in one of them
+        delivery.repartition(files, F.shiftright("trace_id", BUNDLE)).write.mode("append").parquet(f"{base}/events")
         stream = S.read_events(spark, f"{base}/events", recorded.schema, 2)
-        E.run(E.episodes(stream, 2, 1, 0.5, late="3650 days"), f"{base}/out", f"{base}/check").awaitTermination()
+        E.run(E.episodes(stream, 2, 1, 0.5, late="3650 days", bundle=BUNDLE), f"{base}/out", f"{base}/check").awaitTermination()
     drop(spark, recorded)
     out = E.latest(spark.read.schema(f"{E.EPISODE}, batch long").parquet(f"{base}/out"))
     return out.select("trace_id", "steps", "tool_calls", "invalid_actions", "python_seconds", "reason")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -12,9 +13,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..operators.traces import STEPS
 
 EPISODE = "trace_id long, steps long, tool_calls long, invalid_actions long, python_seconds double, reason string, events long, closed boolean"
-FOLDED = "steps long, tool_calls long, invalid_actions long, python_seconds double, reason string, events long, next long"
-OPEN = f"trace_id long, due long, {FOLDED}"
-WAITING = "trace_id long, sequence long, kind string, seconds double"
+#: The state of a bundle: when its timer expires, and as JSON its open episodes with what waits.
+BUNDLED = "timer long, episodes string"
+_OUT = Row(*[c.split()[0] for c in EPISODE.split(", ")])
 #: 64 neighbouring ids (1 << BUNDLE) share a key: a call to the state costs much more than folding an event.
 BUNDLE = 6
 
@@ -53,34 +54,32 @@ class Folded(NamedTuple):
 
 
 class _Episodes(StatefulProcessor):
-    """The open episodes of a bundle of neighbouring ids. One timer: the time at which the first of them falls silent."""
+    """The open episodes of a bundle of neighbouring ids. One timer: the time at which the first of them falls silent, or an earlier one."""
 
     def __init__(self, limits: Limits, silence_ms: int):
         self.limits, self.silence_ms = limits, silence_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", OPEN)
-        self.waiting = handle.getListState("waiting", WAITING)
+        self.bundle = handle.getValueState("bundle", BUNDLED)
 
     def _row(self, trace_id: int, f: Folded, closed: bool) -> Row:
-        return Row(trace_id=trace_id, steps=f.steps, tool_calls=f.tool_calls, invalid_actions=f.invalid_actions, python_seconds=f.python_seconds, reason=f.reason, events=f.events, closed=closed)
-
-    def _state(self) -> tuple[dict[int, Folded], dict[int, int], dict[int, dict[int, tuple]]]:
-        """What each open episode has used, when it is due to close, and its events that wait."""
-        folded, due, waiting = {}, {}, {}
-        if self.open.exists():
-            for trace_id, at, *used in self.open.get():
-                folded[trace_id], due[trace_id], waiting[trace_id] = Folded(*used), at, {}
-            if self.waiting.exists():
-                for trace_id, *event in self.waiting.get():
-                    waiting[trace_id][event[0]] = tuple(event)
-        return folded, due, waiting
-
-    def _keep(self, folded: dict[int, Folded], due: dict[int, int], waiting: dict[int, dict[int, tuple]]) -> None:
-        self.open.put([(k, due[k], *f) for k, f in folded.items()]) if folded else self.open.clear()
-        events = [(k, *event) for k, own in waiting.items() for event in sorted(own.values())]
-        self.waiting.put(events) if events else self.waiting.clear()
+        return _OUT(trace_id, f.steps, f.tool_calls, f.invalid_actions, f.python_seconds, f.reason, f.events, closed)
+
+    def _state(self) -> tuple[dict[int, Folded], dict[int, int], dict[int, dict[int, tuple]], int | None]:
+        """What each open episode has used, when it is due to close, its events that wait; and the timer. One call reads it all."""
+        folded, due, waiting, timer = {}, {}, {}, None
+        if (kept := self.bundle.get()) is not None:
+            timer = kept[0]
+            for trace_id, at, used, events in json.loads(kept[1]):
+                folded[trace_id], due[trace_id], waiting[trace_id] = Folded(*used), at, {event[0]: tuple(event) for event in events}
+        return folded, due, waiting, timer
+
+    def _keep(self, folded: dict[int, Folded], due: dict[int, int], waiting: dict[int, dict[int, tuple]], timer: int | None) -> None:
+        if folded:
+            self.bundle.update((timer, json.dumps([(k, due[k], f, sorted(waiting[k].values())) for k, f in folded.items()])))
+        else:
+            self.bundle.clear()
 
     def _all(self, folded: Folded, waiting: dict[int, tuple]) -> Folded:
         for event in sorted(waiting.values()):
@@ -88,37 +87,37 @@ class _Episodes(StatefulProcessor):
         return folded
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        folded, due, waiting = self._state()
-        before = min(due.values(), default=None)
+        folded, due, waiting, timer = self._state()
         seen = set()
-        for r in rows:
-            k = r.trace_id
+        for k, sequence, kind, seconds, ts, *_ in rows:
             seen.add(k)
             own = waiting.setdefault(k, {})
-            due[k] = max(due.get(k, 0), int(r.ts.timestamp() * 1000) + self.silence_ms)
-            if r.sequence >= folded.setdefault(k, Folded()).next:  # else it was folded before
-                own[r.sequence] = (r.sequence, r.kind, r.seconds)
+            due[k] = max(due.get(k, 0), int(ts.timestamp() * 1000) + self.silence_ms)
+            if sequence >= folded.setdefault(k, Folded()).next:  # else it was folded before
+                own[sequence] = (sequence, kind, seconds)
         for k in seen:
             f, own = folded[k], waiting[k]
             while f.next in own:
                 f = f.advance(*own.pop(f.next), self.limits)
             folded[k] = f
-        self._keep(folded, due, waiting)
         first = min(due.values())
-        if first != before:
-            if before is not None:
-                self.handle.deleteTimer(before)
+        if timer is None or first < timer:  # one that has become too early is set again when it expires
+            if timer is not None:
+                self.handle.deleteTimer(timer)
             self.handle.registerTimer(first)
+            timer = first
+        self._keep(folded, due, waiting, timer)
         for k in seen:  # as it stands if what is missing never comes
             yield self._row(k, self._all(folded[k], waiting[k]), False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        folded, due, waiting = self._state()
+        folded, due, waiting, _ = self._state()
         expired, watermark = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
         closed = {k: (folded.pop(k), waiting.pop(k)) for k, at in due.items() if at <= expired or at < watermark}
-        self._keep(folded, due, waiting)
+        timer = min((due[k] for k in folded), default=None)
+        self._keep(folded, due, waiting, timer)
         if folded:
-            self.handle.registerTimer(min(due[k] for k in folded))
+            self.handle.registerTimer(timer)
         for k, (f, own) in closed.items():
             f = self._all(f, own)
             yield self._row(k, f._replace(reason=f.reason or "cancelled"), True)
@@ -127,11 +126,11 @@ class _Episodes(StatefulProcessor):
         pass
 
 
-def episodes(events: DataFrame, max_steps: int, max_tools: int, max_seconds: float, late: str = "1 hour", silence_ms: int = 3_600_000) -> DataFrame:
+def episodes(events: DataFrame, max_steps: int, max_tools: int, max_seconds: float, late: str = "1 hour", silence_ms: int = 3_600_000, bundle: int = BUNDLE) -> DataFrame:
     """A row (``EPISODE``) of each episode that got events in a micro-batch, as it stands, and a closed one when it ends; for update mode.
 
     ``events``: a stream of (trace_id, sequence, kind, seconds, ts timestamp). An event is folded when all before it have been; until then it waits in the state, which
-    holds a few numbers and these events for each open episode; up to 64 episodes of neighbouring ids are one key. Rows count what waits as if nothing between were to come, so
+    holds a few numbers and these events for each open episode; up to 1 << ``bundle`` episodes of neighbouring ids are one key (more where a micro-batch brings many of them). Rows count what waits as if nothing between were to come, so
     the last row of a trace is that of the batch fold over the same events, however the stream is cut into batches and in whatever order events come.
     Once the watermark (``late``) is ``silence_ms`` beyond an episode's last event, it is closed: what waits is folded, an episode without an end is ``cancelled``, and its
     state goes. Repeated events are folded once. The state is in RocksDB and restarts from the query's checkpoint.
@@ -139,7 +138,7 @@ def episodes(events: DataFrame, max_steps: int, max_tools: int, max_seconds: flo
     spark = events.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     kept = events.select("trace_id", "sequence", "kind", "seconds", "ts").withWatermark("ts", late)
-    return kept.withColumn("bundle", F.shiftright("trace_id", BUNDLE)).groupBy("bundle").transformWithState(_Episodes(Limits(max_steps, max_tools, max_seconds), silence_ms), EPISODE, outputMode="Update", timeMode="EventTime")
+    return kept.withColumn("bundle", F.shiftright("trace_id", bundle)).groupBy("bundle").transformWithState(_Episodes(Limits(max_steps, max_tools, max_seconds), silence_ms), EPISODE, outputMode="Update", timeMode="EventTime")
 
 
 def run(rows: DataFrame, out: str, checkpoint: str):

@@ -96,3 +96,13 @@ def test_neighbours_share_a_key_and_close_apart(spark, tmp_path):
     assert all(found[t].closed and found[t].reason == "cancelled" and found[t].events == 2 for t in range(50))
     assert (found[60].reason, found[60].events, found[60].tool_calls) == ("final", 3, 1)
     assert not found[127].closed and not found[1000].closed
+
+
+def test_micro_batches_do_not_grow_with_the_tasks_that_deliver(spark, monkeypatch):
+    from lodecraft.plans import registry
+
+    jobs, run = [], E.run
+    monkeypatch.setattr(E, "run", lambda *a: jobs.append(run(*a)) or jobs[-1])
+    rows = registry.queries()["stream_episodes"](spark, "/root/testdata/sf0.001").count()
+    batches = [[p["numInputRows"] for p in job.recentProgress if p["numInputRows"]] for job in jobs]
+    assert rows > 0 and [len(b) for b in batches] == [1, 1, 1]
